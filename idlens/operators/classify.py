@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from idlens import rules
 from idlens.functions.numbers import class_confidence
-from idlens.functions.text import alternation
+from idlens.functions.text import alternation, let
 
 SCORE_PREFIX = "score_"
 
@@ -33,6 +33,16 @@ def class_score(text: Column, rule: rules.ClassRule, word_boundary: bool = False
     return score
 
 
+def score_struct(text: Column, payload: Column | None = None, class_rules=rules.CLASS_RULES,
+                 word_boundary: bool = False) -> Column:
+    """AGG-5: points of every class. The upper-cased text is bound once, so a
+    filter pushed below this projection cannot multiply it."""
+    blank = F.lit("")
+    joined = F.concat_ws(" ", F.coalesce(text, blank), blank if payload is None else F.coalesce(payload, blank))
+    return let(F.upper(joined), lambda t: F.struct(*[
+        class_score(t, r, word_boundary).alias(SCORE_PREFIX + r.doc_type) for r in class_rules]))
+
+
 def class_scores(
     df: DataFrame,
     text: str = "raw_text",
@@ -40,40 +50,43 @@ def class_scores(
     class_rules=rules.CLASS_RULES,
     word_boundary: bool = False,
 ) -> DataFrame:
-    """AGG-5: one score column per class.
+    """AGG-5: one score column per class; no join, no shuffle."""
+    scores = score_struct(F.col(text), F.col(payload) if payload else None, class_rules, word_boundary)
+    return df.withColumn("_scores", scores).select(*df.columns, "_scores.*")
 
-    No join and no shuffle: the rules are unrolled into the projection, and the
-    upper-cased text is computed once in a projection of its own.
-    """
-    joined = F.concat_ws(" ", F.coalesce(F.col(text), F.lit("")),
-                         F.coalesce(F.col(payload), F.lit("")) if payload else F.lit(""))
-    upper = df.withColumn("_upper", F.upper(joined))
-    scores = [
-        class_score(F.col("_upper"), r, word_boundary).alias(SCORE_PREFIX + r.doc_type) for r in class_rules
-    ]
-    return upper.select(*df.columns, *scores)
+
+def class_struct(scores: Column, class_rules=rules.CLASS_RULES) -> Column:
+    """WIN-1 / MTH-3: the class with most points, the earlier one on ties, none for 0."""
+    def decide(s: Column) -> Column:
+        best = F.greatest(*[s[SCORE_PREFIX + r.doc_type] for r in class_rules])
+
+        def named(b: Column) -> Column:
+            kind, title = F.when(b == 0, "unknown"), F.when(b == 0, rules.UNKNOWN_TITLE)
+            for r in class_rules:
+                wins = s[SCORE_PREFIX + r.doc_type] == b
+                kind, title = kind.when(wins, r.doc_type), title.when(wins, r.title)
+            pairs = [x for r in class_rules for x in (F.lit(r.doc_type), s[SCORE_PREFIX + r.doc_type])]
+            return F.struct(
+                kind.alias("document_type"), title.alias("document_name"), class_confidence(b).alias("confidence"),
+                F.create_map(*pairs).alias("all_scores"))
+
+        return let(best, named)
+
+    return let(scores, decide)
 
 
 def best_class(scored: DataFrame, class_rules=rules.CLASS_RULES) -> DataFrame:
-    """WIN-1: the class with most points, earlier class on ties, none for 0."""
-    best = F.greatest(*[F.col(SCORE_PREFIX + r.doc_type) for r in class_rules])
-    kind, title = F.when(best == 0, "unknown"), F.when(best == 0, rules.UNKNOWN_TITLE)
-    for r in class_rules:
-        wins = F.col(SCORE_PREFIX + r.doc_type) == best
-        kind, title = kind.when(wins, r.doc_type), title.when(wins, r.title)
-    return scored.withColumns(
-        {"document_type": kind, "document_name": title, "confidence": class_confidence(best)}
-    )
+    """WIN-1 on the columns of `class_scores`."""
+    scores = F.struct(*[SCORE_PREFIX + r.doc_type for r in class_rules])
+    return scored.withColumn("_class", class_struct(scores, class_rules)).select(
+        *scored.columns, "_class.document_type", "_class.document_name", "_class.confidence")
 
 
 def classify(df: DataFrame, text: str = "raw_text", payload: str | None = None,
              class_rules=rules.CLASS_RULES, word_boundary: bool = False) -> DataFrame:
     """Adds document_type, document_name, confidence and the all_scores map."""
-    result = best_class(class_scores(df, text, payload, class_rules, word_boundary), class_rules)
-    pairs = [x for r in class_rules for x in (F.lit(r.doc_type), F.col(SCORE_PREFIX + r.doc_type))]
-    return result.withColumn("all_scores", F.create_map(*pairs)).drop(
-        *[SCORE_PREFIX + r.doc_type for r in class_rules]
-    )
+    scores = score_struct(F.col(text), F.col(payload) if payload else None, class_rules, word_boundary)
+    return df.withColumn("_class", class_struct(scores, class_rules)).select(*df.columns, "_class.*")
 
 
 # keywords tested per generated expression; a longer dictionary takes several

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from idlens import rules
 from idlens.functions.numbers import round_even
-from idlens.functions.text import mutually_contained, none_if_blank, present, strip
+from idlens.functions.text import let, mutually_contained, none_if_blank, present, strip
 
 
 def qr_attributes(payload: Column) -> Column:
@@ -19,9 +19,8 @@ def qr_attributes(payload: Column) -> Column:
         for x in (F.lit(k), strip(none_if_blank(F.regexp_extract(payload, f'(?i){k}="([^"]+)"', 1))))
     ]
     found = F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull())
-    return F.when(F.size(found) > 0, found).otherwise(
-        F.when(payload.isNotNull(), F.create_map(F.lit("raw_payload"), payload))
-    )
+    whole = F.when(payload.isNotNull(), F.create_map(F.lit("raw_payload"), payload))
+    return let(found, lambda m: F.when(F.size(m) > 0, m).otherwise(whole))
 
 
 def parse_qr(qr: DataFrame, payload: str = "payload") -> DataFrame:
@@ -56,24 +55,23 @@ def qr_check(fields: Column, payload: Column, parsed: Column) -> Column:
         return F.coalesce(c, F.lit(False)).cast("int")
 
     matches = one(both_names & name_ok) + one(both_dobs & dob_ok) + one(number_ok)
-    verdict = (F.size(mismatches) == 0) & ((matches > 0) | F.map_contains_key(parsed, F.lit("raw_payload")))
     absent = F.struct(
         F.lit(False).alias("qr_detected"), F.lit(None).cast("string").alias("qr_data"),
         F.lit(None).cast("boolean").alias("qr_ocr_match"), F.lit(0).alias("matches"),
         F.array(F.lit("QR code not detected on document")).alias("mismatches"),
     )
-    seen = F.struct(
-        F.lit(True).alias("qr_detected"), payload.alias("qr_data"), verdict.alias("qr_ocr_match"),
-        matches.alias("matches"), mismatches.alias("mismatches"),
-    )
+    unparsed = F.map_contains_key(parsed, F.lit("raw_payload"))
+    seen = let(F.struct(matches.alias("n"), mismatches.alias("m")), lambda s: F.struct(
+        F.lit(True).alias("qr_detected"), payload.alias("qr_data"),
+        ((F.size(s["m"]) == 0) & ((s["n"] > 0) | unparsed)).alias("qr_ocr_match"),
+        s["n"].alias("matches"), s["m"].alias("mismatches")))
     return F.when(present(payload), seen).otherwise(absent)
 
 
 def check_payload(df: DataFrame, payload: str = "payload", fields: str = "fields") -> DataFrame:
     """JN-2 / AGG-14 once payload and fields are on one row."""
-    return df.withColumn("_parsed", qr_attributes(F.col(payload))).withColumn(
-        "qr_check", qr_check(F.col(fields), F.col(payload), F.col("_parsed"))
-    ).drop("_parsed")
+    both = F.struct(F.col(fields).alias("f"), F.col(payload).alias("p"), qr_attributes(F.col(payload)).alias("a"))
+    return df.withColumn("qr_check", let(both, lambda s: qr_check(s["f"], s["p"], s["a"])))
 
 
 def cross_check(fields_df: DataFrame, qr: DataFrame, keys: list[str]) -> DataFrame:

@@ -430,39 +430,39 @@ def unregister_extractor(doc_type: str) -> None:
     _EXTRA.pop(doc_type, None)
 
 
-def _field_names(df: DataFrame, column: str) -> set[str]:
-    return set(df.schema[column].dataType.names)
-
-
 def extract_fields(
     df: DataFrame, text: str = "raw_text", doc_type: str = "document_type",
     payload: str | None = None, blocks: str | None = None,
 ) -> DataFrame:
     """EXT-7: adds the wide `fields` struct; each row runs only the rules of its
     own type, and unknown types get the passport rules."""
-    staged = df.withColumn("_kind", normal_doc_type(F.coalesce(F.col(doc_type), F.lit(""))))
-    kind = F.col("_kind")
-    extras = dict(_EXTRA)
-    own = ["aadhaar", "driving_licence", "visa", *extras]
-    as_passport = ~kind.isin(*own)
     body = F.col(text)
     qr = F.col(payload) if payload else F.lit(None).cast("string")
-    staged = staged.withColumns({
-        "_aadhaar": F.when(kind == "aadhaar", aadhaar_struct(body, qr, F.col(blocks) if blocks else None)),
-        "_licence": F.when(kind == "driving_licence", licence_struct(body)),
-        "_passport": F.when(as_passport, T.let(mrz_of(body), lambda z: passport_struct(body, z))),
-        "_visa": F.when(kind == "visa", T.let(mrz_of(body), lambda z: visa_struct(body, z))),
-    })
-    parts = ["_aadhaar", "_passport", "_visa", "_licence"]
-    for i, (name, fn) in enumerate(extras.items()):
-        staged = staged.withColumn(f"_extra{i}", F.when(kind == name, fn(body, text_lines(body), qr)))
-        parts.append(f"_extra{i}")
-    known = {p: _field_names(staged, p) for p in parts}
-    wide = []
-    for name, dtype in FIELD_TYPES.items():
-        sources = [F.col(p)[name] for p in parts if name in known[p]]
-        wide.append(F.coalesce(*sources, F.lit(None)).cast(dtype).alias(name))
-    return staged.withColumn("fields", F.struct(*wide)).drop("_kind", *parts)
+    extras = dict(_EXTRA)
+
+    def by_type(kind: Column) -> Column:
+        own = ["aadhaar", "driving_licence", "visa", *extras]
+        parts = {
+            "aadhaar": F.when(kind == "aadhaar", aadhaar_struct(body, qr, F.col(blocks) if blocks else None)),
+            "passport": F.when(~kind.isin(*own), T.let(mrz_of(body), lambda z: passport_struct(body, z))),
+            "visa": F.when(kind == "visa", T.let(mrz_of(body), lambda z: visa_struct(body, z))),
+            "licence": F.when(kind == "driving_licence", licence_struct(body)),
+        }
+        for i, (name, fn) in enumerate(extras.items()):
+            parts[f"extra{i}"] = F.when(kind == name, fn(body, text_lines(body), qr))
+        return F.struct(*[c.alias(n) for n, c in parts.items()])
+
+    staged = df.withColumn("_parts", T.let(normal_doc_type(F.coalesce(F.col(doc_type), F.lit(""))), by_type))
+    known = {f.name: set(f.dataType.names) for f in staged.schema["_parts"].dataType.fields}
+
+    def widened(parts: Column) -> Column:
+        return F.struct(*[
+            F.coalesce(*[parts[p][name] for p, names in known.items() if name in names], F.lit(None))
+            .cast(dtype).alias(name)
+            for name, dtype in FIELD_TYPES.items()
+        ])
+
+    return staged.withColumn("fields", T.let(F.col("_parts"), widened)).drop("_parts")
 
 
 # --- map, long and wide forms (MAP-1) ---------------------------------------------------
@@ -504,7 +504,6 @@ def extract_light(df: DataFrame, text: str = "raw_text", doc_type: str = "docume
     line and, when fewer than two fields were found, the first four lines."""
     body, kind = F.col(text), normal_doc_type(F.col(doc_type))
     lines = F.filter(F.transform(F.split(body, "\n"), strip), lambda x: F.length(x) > 2)
-    staged = df.withColumn("_lines", lines)
     dob = F.coalesce(
         first_match(body, r"\b([0-9]{2}[/\-.][0-9]{2}[/\-.][0-9]{4})\b"),
         first_match(body, r"(?i)(?:DOB|D\.O\.B|Birth|Year)[\s:]*([0-9]{2}[/\-][0-9]{2}[/\-][0-9]{4}|[0-9]{4})"),
@@ -521,15 +520,17 @@ def extract_light(df: DataFrame, text: str = "raw_text", doc_type: str = "docume
         .when(kind == "visa", F.upper(first_match(body, r"(?i)\b(V[0-9]{7,9})\b")))
     )
     headers = "(?i)" + alternation(rules.LIGHT_HEADERS)
-    name = F.get(F.filter(
-        F.col("_lines"), lambda x: ~x.rlike(headers) & x.rlike(r"^[A-Za-z\s.]{3,35}$")), F.lit(0))
-    staged = staged.withColumns({"_dob": dob, "_gender": gender, "_id": identifier, "_name": name})
-    found = sum((F.col(c).isNotNull().cast("int") for c in ("_dob", "_gender", "_id", "_name")), F.lit(0))
-    return staged.withColumn(
-        "light",
-        F.struct(
-            F.col("_dob").alias("dateOfBirth"), F.col("_gender").alias("gender"),
-            F.col("_id").alias("identifier"), F.col("_name").alias("name"),
-            F.when(found < 2, F.slice("_lines", 1, 4)).otherwise(F.array().cast("array<string>")).alias("lines"),
-        ),
-    ).drop("_lines", "_dob", "_gender", "_id", "_name")
+
+    def read(kept: Column) -> Column:
+        name = F.get(F.filter(
+            kept, lambda x: ~x.rlike(headers) & x.rlike(r"^[A-Za-z\s.]{3,35}$")), F.lit(0))
+        return F.struct(dob.alias("dateOfBirth"), gender.alias("gender"), identifier.alias("identifier"),
+                        name.alias("name"), kept.alias("lines"))
+
+    def topped_up(r: Column) -> Column:
+        names = ("dateOfBirth", "gender", "identifier", "name")
+        found = sum((r[n].isNotNull().cast("int") for n in names), F.lit(0))
+        few = F.when(found < 2, F.slice(r["lines"], 1, 4)).otherwise(F.array().cast("array<string>"))
+        return F.struct(*[r[n].alias(n) for n in names], few.alias("lines"))
+
+    return df.withColumn("light", T.let(T.let(lines, read), topped_up))

@@ -58,13 +58,16 @@ def _swapped(pair: Column, swap) -> Column:
         (F.size(p) == 2) & swap(F.get(p, F.lit(0)), F.get(p, F.lit(1))), F.reverse(p)).otherwise(p))
 
 
-def locate_mrz(text: Column) -> Column:
-    """[line 1, line 2] of 44 characters each, or NULL: the two longest candidates,
-    name line on top, number line repaired."""
+def ordered_lines(text: Column) -> Column:
+    """The two longest candidates, name line on top; shorter when there are not two."""
     two = two_longest(candidate_lines(text))
     two = _swapped(two, lambda a, b: b.contains("<") & ~a.contains("<"))
-    two = _swapped(two, lambda a, b: b.rlike(NAME_STARTS) & ~a.rlike(NAME_STARTS))
-    return let(two, lambda p: F.when(F.size(p) == 2, F.array(
+    return _swapped(two, lambda a, b: b.rlike(NAME_STARTS) & ~a.rlike(NAME_STARTS))
+
+
+def locate_mrz(text: Column) -> Column:
+    """[line 1, line 2] of 44 characters each, number line repaired, or NULL."""
+    return let(ordered_lines(text), lambda p: F.when(F.size(p) == 2, F.array(
         pad_mrz(F.get(p, F.lit(0))), pad_mrz(let(F.get(p, F.lit(1)), lambda line: repaired(line, text))))))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from idlens.functions.checksums import verhoeff_valid
 from idlens.functions.numbers import not_expired
-from idlens.functions.text import normal_doc_type, present, title_label
+from idlens.functions.text import let, normal_doc_type, present, title_label
 
 
 def _mark(ok: Column) -> Column:
@@ -59,15 +59,13 @@ def overall(status: Column) -> Column:
 def validate(df: DataFrame, doc_type: str = "document_type", fields: str = "fields",
              mrz_policy: str = "strict") -> DataFrame:
     """Adds the `validation_status` map, `overall` included."""
-    checks = check_columns(F.col(doc_type), F.col(fields), mrz_policy)
-    pairs = [x for k, v in checks.items() for x in (F.lit(k), v)]
-    staged = df.withColumn(
-        "_checks", F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull())
-    )
-    return staged.withColumn(
-        "validation_status",
-        F.map_concat("_checks", F.create_map(F.lit("overall"), overall(F.col("_checks")))),
-    ).drop("_checks")
+    def checks(f: Column) -> Column:
+        named = check_columns(F.col(doc_type), f, mrz_policy)
+        pairs = [x for k, v in named.items() for x in (F.lit(k), v)]
+        return F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull())
+
+    status = let(let(F.col(fields), checks), lambda c: F.map_concat(c, F.create_map(F.lit("overall"), overall(c))))
+    return df.withColumn("validation_status", status)
 
 
 def overall_from_long(checks: DataFrame, keys: list[str], status: str = "status") -> DataFrame:
@@ -107,13 +105,16 @@ def verdict(df: DataFrame, as_of: Column, doc_type: str = "document_type", field
 def tampering(df: DataFrame, fields: str = "fields", cross: str = "qr_check") -> DataFrame:
     """VAL-5: tampered when the QR contradicts the text, the id number does not
     check, or a zone that was read does not check."""
-    f, q = F.col(fields), F.col(cross)
-    contradicted = q["qr_detected"] & (F.size(q["mismatches"]) > 0)
-    bad_number = F.coalesce(~f["aadhaar_number_valid"], F.lit(False)) & present(f["aadhaar_number"])
-    bad_zone = F.coalesce(~f["mrz_checksum_valid"] & (F.size(f["mrz_raw"]) > 0), F.lit(False))
-    anomalies = F.concat(
-        F.when(contradicted, q["mismatches"]).otherwise(F.array().cast("array<string>")),
-        F.when(bad_number, F.array(F.lit("Id number checksum failed"))).otherwise(F.array().cast("array<string>")),
-        F.when(bad_zone, F.array(F.lit("MRZ check digits failed"))).otherwise(F.array().cast("array<string>")),
-    )
+    none = F.array().cast("array<string>")
+
+    def found(f: Column, q: Column) -> Column:
+        contradicted = q["qr_detected"] & (F.size(q["mismatches"]) > 0)
+        bad_number = ~f["aadhaar_number_valid"] & present(f["aadhaar_number"])
+        bad_zone = ~f["mrz_checksum_valid"] & (F.size(f["mrz_raw"]) > 0)
+        return F.concat(
+            F.when(contradicted, q["mismatches"]).otherwise(none),
+            F.when(bad_number, F.array(F.lit("Id number checksum failed"))).otherwise(none),
+            F.when(bad_zone, F.array(F.lit("MRZ check digits failed"))).otherwise(none))
+
+    anomalies = let(F.struct(F.col(fields).alias("f"), F.col(cross).alias("q")), lambda s: found(s["f"], s["q"]))
     return df.withColumn("anomalies", anomalies).withColumn("tampered", F.size("anomalies") > 0)
