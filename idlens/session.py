@@ -13,6 +13,9 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # the extraction rules are long expressions; deriving extra constraints from
+    # them costs planning time (minutes) and finds nothing to prune with
+    "spark.sql.constraintPropagation.enabled": "false",
     # streaming sessions are merged before the shuffle, so a hot session ships
     # one row per input partition instead of every capture
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
