@@ -17,7 +17,7 @@ from idlens.operators.extract import fields_long
 from idlens.operators.history import newest_first
 from idlens.operators.risk import history_items
 from idlens.operators.sessions import consolidate
-from idlens.plans.batch import first_pages, process_pages, result_columns
+from idlens.plans.batch import first_pages, process_pages, result_columns, run_batch
 from idlens.session import scratch_path
 from idlens.sources import readers, sinks
 
@@ -376,3 +376,20 @@ def _(spark, sf):
 def _(spark, sf):
     store = sinks.capture_store(rel(spark, sf, "captures").withColumn("custom_name", F.col("file_name")))
     return store.select("base_name", "capture_id")
+
+
+# --- the whole batch job ---------------------------------------------------------------------------------------
+
+
+@register("batch_results", f"""WITH {ASSEMBLED_SQL.format(source='blocks')},
+eng AS (SELECT doc_id, CASE WHEN length({strip_sql('raw_text')}) > 10 THEN raw_text ELSE '' END AS raw_text, CASE WHEN length({strip_sql('raw_text')}) > 10 THEN confidence_score ELSE 85 END AS ocr_confidence FROM pg),
+src AS (SELECT doc_id, raw_text || chr(10) || chr(10) || 'doc' || cast(doc_id AS VARCHAR) || '.jpg' AS full_text FROM eng),
+{typed_sql('src', 'full_text', "''")}
+SELECT t.doc_id, document_type, confidence, cast(ocr_confidence AS DOUBLE) AS ocr_confidence, length(raw_text) AS n_chars FROM typed t JOIN eng e ON t.doc_id = e.doc_id""", ("blocks",))
+def _(spark, sf):
+    pages = rel(spark, sf, "documents").select(
+        "doc_id", F.lit(1).alias("page_number"), F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".jpg")).alias("file_name"))
+    qr = rel(spark, sf, "kyc").where("payload is not null and doc_id < 0").select(
+        "doc_id", "page_number", "payload", F.lit("pyzbar").alias("method"))
+    results = run_batch(rel(spark, sf, "blocks"), pages, qr)
+    return results.select("doc_id", "document_type", "confidence", "ocr_confidence", F.length("raw_ocr_text").cast("bigint").alias("n_chars"))
