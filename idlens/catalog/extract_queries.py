@@ -77,24 +77,17 @@ above AS (SELECT doc_id, CASE WHEN anchor > 1 THEN coalesce(n[anchor - 1], CASE
 @register("win6_name_above_anchor", f"""WITH {names_sql('corpus')}
 SELECT doc_id, name_above FROM above WHERE name_above IS NOT NULL""", ("corpus",))
 def _(spark, sf):
-    def staged(lines):
-        anchor = T.index_of_first(lines, lambda x: F.upper(x).rlike(T.alternation(X.ANCHOR_WORDS) + rf"|\b{X.DATE}\b"))
-        return T.let(anchor, lambda a: X.name_above_anchor(T.name_candidates(lines), a))
-
-    c = rel(spark, sf, "corpus").select("doc_id", T.let(T.text_lines(F.col("raw_text")), staged).alias("name_above"))
+    c = rel(spark, sf, "corpus").select("doc_id", T.let(
+        X.line_facts(F.col("raw_text")), lambda s: X.name_above_anchor(s["lines"], s["anchor"])).alias("name_above"))
     return c.where("name_above is not null")
 
 
 @register("win7_name_below_header", f"""WITH {names_sql('corpus')}
 SELECT doc_id, name_below FROM above WHERE name_below IS NOT NULL""", ("corpus",))
 def _(spark, sf):
-    def staged(lines):
-        anchor = T.index_of_first(lines, lambda x: F.upper(x).rlike(T.alternation(X.ANCHOR_WORDS) + rf"|\b{X.DATE}\b"))
-        header = T.index_of_first(lines, lambda x: F.upper(x).rlike(T.alternation(X.HEADER_WORDS)))
-        facts = F.struct(anchor.alias("a"), header.alias("h"), T.name_candidates(lines).alias("n"))
-        return T.let(facts, lambda s: X.name_below_header(s["n"], s["a"], s["h"]))
-
-    c = rel(spark, sf, "corpus").select("doc_id", T.let(T.text_lines(F.col("raw_text")), staged).alias("name_below"))
+    c = rel(spark, sf, "corpus").select("doc_id", T.let(
+        X.line_facts(F.col("raw_text")),
+        lambda s: X.name_below_header(s["lines"], s["anchor"], s["header"])).alias("name_below"))
     return c.where("name_below is not null")
 
 

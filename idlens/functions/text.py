@@ -38,6 +38,12 @@ def first_match(c: Column, pattern: str, group: int = 1) -> Column:
     return none_if_blank(F.regexp_extract(c, pattern, group))
 
 
+def guarded(upper: Column, words: Iterable[str], value: Column) -> Column:
+    """`value` where the upper-cased text holds one of the words its pattern needs;
+    a literal search is far cheaper than a pattern with alternatives."""
+    return F.when(contains_any(upper, words), value)
+
+
 def first_line(c: Column) -> Column:
     return F.split_part(strip(c), F.lit("\n"), F.lit(1))
 

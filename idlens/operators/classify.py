@@ -18,6 +18,14 @@ def _occurs(text: Column, literal: str, word_boundary: bool) -> Column:
     return text.contains(literal)
 
 
+def _may_match(text: Column, pattern: str) -> Column:
+    """A cheap necessary condition, so that ordinary prose never meets the costly
+    pattern: a run of digits, or a literal, that every match holds."""
+    if "P<" in pattern:
+        return text.contains("P<")
+    return text.rlike("[0-9]{4}") if "[0-9]" in pattern else F.lit(True)
+
+
 def class_score(text: Column, rule: rules.ClassRule, word_boundary: bool = False) -> Column:
     """Points of one class; each keyword or bonus counts once."""
     score = F.lit(0)
@@ -28,7 +36,7 @@ def class_score(text: Column, rule: rules.ClassRule, word_boundary: bool = False
         for literal in bonus.literals:
             hit = hit | _occurs(text, literal, word_boundary)
         for pattern in bonus.patterns:
-            hit = hit | text.rlike(pattern)
+            hit = hit | (_may_match(text, pattern) & text.rlike(pattern))
         score = score + F.when(hit, bonus.points).otherwise(0)
     return score
 

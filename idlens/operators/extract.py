@@ -79,48 +79,71 @@ FIELD_TYPES: dict[str, str] = {
 }
 
 
-def address_with_pin(text: Column, labels: str) -> Column:
+# necessary conditions of the date, year and number patterns
+DATE_GUARD = "[0-9]{2}[-/.][0-9]{2}[-/.][0-9]{4}"
+LOOSE_DATE_GUARD = "[0-9]{2}[-/. ][0-9]{2}[-/. ][0-9]{4}"
+YEAR_GUARD = "[12][09][0-9]{2}"
+
+
+def address_with_pin(text: Column, upper: Column, labels: tuple[str, ...]) -> Column:
     """From the label up to the first six-digit PIN (or the end); a PIN within 20
     characters after is appended unless the address already holds it."""
-    body = r"(?is)((?:" + labels + r")\s*[:\s]*.+?)"
-    near = F.regexp_extract(text, body + r"(?:\b[0-9]{6}\b.{0,14}|\z)", 0)
-    address = strip(F.regexp_extract(text, body + r"(?:\b[0-9]{6}\b|\z)", 1))
-    pin = F.regexp_extract(near, r"\b[0-9]{6}\b", 0)
-    tail = F.when((pin != "") & ~address.contains(pin), F.concat(F.lit(" - "), pin)).otherwise("")
-    return none_if_blank(squeeze(F.concat(address, tail)))
+    body = r"(?is)((?:" + "|".join(labels) + r")\s*[:\s]*.+?)"
+    parts = F.struct(
+        strip(F.regexp_extract(text, body + r"(?:\b[0-9]{6}\b|\z)", 1)).alias("address"),
+        F.regexp_extract(
+            F.regexp_extract(text, body + r"(?:\b[0-9]{6}\b.{0,14}|\z)", 0), r"\b[0-9]{6}\b", 0).alias("pin"))
+
+    def whole(p: Column) -> Column:
+        missing = (p["pin"] != "") & ~p["address"].contains(p["pin"])
+        tail = F.when(missing, F.concat(F.lit(" - "), p["pin"])).otherwise("")
+        return none_if_blank(squeeze(F.concat(p["address"], tail)))
+
+    return T.guarded(upper, [w.upper() for w in labels], T.let(parts, whole))
 
 
 # --- Aadhaar ---------------------------------------------------------------------
 
 
-def name_above_anchor(names: Column, anchor: Column) -> Column:
+def is_anchor(line: Column) -> Column:
+    """A line with a birth or gender word, or a date."""
+    return T.contains_any(F.upper(line), ANCHOR_WORDS) | (line.rlike(DATE_GUARD) & line.rlike(rf"\b{DATE}\b"))
+
+
+def is_header(line: Column) -> Column:
+    return T.contains_any(F.upper(line), HEADER_WORDS)
+
+
+def _first_name(lines: Column) -> Column:
+    return F.get(F.filter(T.name_candidates(lines), lambda x: x.isNotNull()), F.lit(0))
+
+
+def name_above_anchor(lines: Column, anchor: Column) -> Column:
     """WIN-6: nearest of the three lines above the first birth/gender line that
     can be a name. `anchor` is 0-based, -1 when there is none."""
-    return F.coalesce(
-        *[F.when(anchor >= k, F.get(names, F.greatest(anchor - k, F.lit(0)))) for k in (1, 2, 3)]
-    )
+    start = F.greatest(anchor - 3, F.lit(0))
+    return F.when(anchor > 0, _first_name(F.reverse(F.slice(lines, start + 1, anchor - start))))
 
 
-def name_below_header(names: Column, anchor: Column, header: Column) -> Column:
+def name_below_header(lines: Column, anchor: Column, header: Column) -> Column:
     """WIN-7: first possible name between the header line and the anchor."""
     start = F.greatest(header, F.lit(0))
-    end = F.when(anchor > 0, anchor).otherwise(F.size(names))
-    window = F.slice(names, start + 1, F.greatest(end - start, F.lit(0)))
-    return F.get(F.filter(window, lambda x: x.isNotNull()), F.lit(0))
+    end = F.when(anchor > 0, anchor).otherwise(F.size(lines))
+    return _first_name(F.slice(lines, start + 1, F.greatest(end - start, F.lit(0))))
+
+
+def line_facts(text: Column) -> Column:
+    """The lines of a text with the positions of its anchor and header."""
+    return T.let(text_lines(text), lambda lines: F.struct(
+        lines.alias("lines"), index_of_first(lines, is_anchor).alias("anchor"),
+        index_of_first(lines, is_header).alias("header")))
 
 
 def holder_from_lines(text: Column) -> Column:
     """WIN-6, then WIN-7."""
-    def from_lines(lines: Column) -> Column:
-        anchor = index_of_first(
-            lines, lambda x: F.upper(x).rlike(alternation(ANCHOR_WORDS) + rf"|\b{DATE}\b"))
-        header = index_of_first(lines, lambda x: F.upper(x).rlike(alternation(HEADER_WORDS)))
-        facts = F.struct(T.name_candidates(lines).alias("names"), anchor.alias("anchor"), header.alias("header"))
-        return T.let(facts, lambda s: F.coalesce(
-            name_above_anchor(s["names"], s["anchor"]),
-            name_below_header(s["names"], s["anchor"], s["header"])))
-
-    return T.let(text_lines(text), from_lines)
+    return T.let(line_facts(text), lambda s: F.coalesce(
+        name_above_anchor(s["lines"], s["anchor"]),
+        name_below_header(s["lines"], s["anchor"], s["header"])))
 
 
 def _block_name(blocks: Column) -> Column:
@@ -128,21 +151,35 @@ def _block_name(blocks: Column) -> Column:
     return F.get(F.filter(names, lambda x: x.isNotNull()), F.lit(0))
 
 
-def gender_word(text: Column) -> Column:
+def gender_word(text: Column, upper: Column) -> Column:
     def hindi(word: str) -> Column:
-        return text.rlike(NON_LETTER_BEFORE + word + NON_LETTER_AFTER)
+        return text.contains(word) & text.rlike(NON_LETTER_BEFORE + word + NON_LETTER_AFTER)
+
+    def latin(word: str) -> Column:
+        return upper.contains(word) & text.rlike(rf"(?i)\b{word}\b")
 
     return (
-        F.when(text.rlike(r"(?i)\bMALE\b") | hindi("पुरुष"), "MALE")
-        .when(text.rlike(r"(?i)\bFEMALE\b") | hindi("महिला"), "FEMALE")
-        .when(text.rlike(r"(?i)\bTRANSGENDER\b"), "TRANSGENDER")
+        F.when(latin("MALE") | hindi("पुरुष"), "MALE")
+        .when(latin("FEMALE") | hindi("महिला"), "FEMALE")
+        .when(latin("TRANSGENDER"), "TRANSGENDER")
     )
 
 
-def prefixed_name(text: Column) -> Column:
+def any_date(text: Column) -> Column:
+    return slash_dates(F.when(text.rlike(DATE_GUARD), first_match(text, rf"\b({DATE})\b")))
+
+
+def labelled_date(text: Column, upper: Column, labels: tuple[str, ...]) -> Column:
+    """The date right after one of the labels, with '/' separators."""
+    pattern = rf"(?i)(?:{'|'.join(labels)})\s*[:\s]*({DATE})"
+    found = F.when(text.rlike(DATE_GUARD), first_match(text, pattern))
+    return slash_dates(T.guarded(upper, [w.upper() for w in labels], found))
+
+
+def prefixed_name(text: Column, upper: Column) -> Column:
     """The value after a Name / To / Holder label, unless it is a heading."""
-    labelled = none_if_blank(
-        first_line(F.regexp_extract(text, rf"(?i)(?:Name|To|Holder)\s*[:\s]+\s*({NAME_CHARS}{{3,35}})", 1)))
+    labelled = none_if_blank(T.guarded(upper, ("NAME", "TO", "HOLDER"), first_line(
+        F.regexp_extract(text, rf"(?i)(?:Name|To|Holder)\s*[:\s]+\s*({NAME_CHARS}{{3,35}})", 1))))
     return T.let(labelled, lambda x: F.when(~F.upper(x).rlike(alternation(rules.NAME_FORBIDDEN)), x))
 
 
@@ -157,18 +194,20 @@ def aadhaar_struct(body: Column, payload: Column | None = None, blocks: Column |
 
     attributes = F.struct(
         from_qr("uid", "[0-9]{12}").alias("uid"), from_qr("name").alias("name"), from_qr("dob").alias("dob"),
-        from_qr("gender").alias("gender"))
+        from_qr("gender").alias("gender"), F.upper(body).alias("upper"))
 
     def result(q: Column) -> Column:
+        upper = q["upper"]
+        numbers = body.rlike("[0-9]{4}")
         trusted = q["uid"].isNotNull()
         complete = trusted & q["name"].isNotNull() & q["dob"].isNotNull()
 
         def given(key: str) -> Column:
             return F.when(trusted, q[key])
 
-        plain = F.regexp_replace(
-            first_match(body, r"\b([0-9]{4}[-\s]?[0-9]{4}[-\s]?[0-9]{4})\b"), r"[-\s]", "")
-        masked = first_match(body, r"(?i)\b([X0-9]{4}[-\s]?[X0-9]{4}[-\s]?[0-9]{4})\b")
+        plain = F.regexp_replace(F.when(
+            numbers, first_match(body, r"\b([0-9]{4}[-\s]?[0-9]{4}[-\s]?[0-9]{4})\b")), r"[-\s]", "")
+        masked = F.when(numbers, first_match(body, r"(?i)\b([X0-9]{4}[-\s]?[X0-9]{4}[-\s]?[0-9]{4})\b"))
 
         def as_number(value: Column, is_masked: bool) -> Column:
             return F.struct(value.alias("number"), F.lit(is_masked).alias("masked"))
@@ -181,24 +220,27 @@ def aadhaar_struct(body: Column, payload: Column | None = None, blocks: Column |
         read = T.let(picked, lambda n: F.struct(
             n["number"].alias("number"),
             F.when(n["masked"], True).otherwise(verhoeff_valid(n["number"])).alias("ok")))
+        year_label = r"(?i)(?:YOB|Year of Birth|Birth Year)\s*[:\s]*([0-9]{4})"
         dob = F.coalesce(
             given("dob"),
-            slash_dates(first_match(body, rf"(?i)(?:DOB|Date of Birth|DOB:)\s*[:\s]*({DATE})")),
-            slash_dates(first_match(body, rf"\b({DATE})\b")),
-            first_match(body, r"(?i)(?:YOB|Year of Birth|Birth Year)\s*[:\s]*([0-9]{4})"),
-            first_match(body, r"\b(19[0-9]{2}|20[0-2][0-9])\b"),
+            labelled_date(body, upper, ("DOB", "Date of Birth", "DOB:")),
+            any_date(body),
+            F.when(numbers, T.guarded(
+                upper, ("YOB", "YEAR OF BIRTH", "BIRTH YEAR"), first_match(body, year_label))),
+            F.when(body.rlike(YEAR_GUARD), first_match(body, r"\b(19[0-9]{2}|20[0-2][0-9])\b")),
         )
         name = F.coalesce(
             given("name"),
-            strip(first_match(body, '(?i)name="([^"]+)"')),
-            prefixed_name(body),
+            strip(T.guarded(upper, ('NAME="',), first_match(body, '(?i)name="([^"]+)"'))),
+            prefixed_name(body, upper),
             holder_from_lines(body),
             *([] if blocks is None else [_block_name(blocks)]),
         )
-        address = F.when(~complete, address_with_pin(body, "Address|पता|S/O|C/O|W/O|D/O"))
+        address = F.when(
+            ~complete, address_with_pin(body, upper, ("Address", "पता", "S/O", "C/O", "W/O", "D/O")))
         return T.let(read, lambda n: F.struct(
             n["number"].alias("aadhaar_number"), n["ok"].alias("aadhaar_number_valid"), dob.alias("dob"),
-            F.coalesce(given("gender"), F.when(~complete, gender_word(body))).alias("gender"),
+            F.coalesce(given("gender"), F.when(~complete, gender_word(body, upper))).alias("gender"),
             name.alias("name"), address.alias("address")))
 
     return T.let(attributes, result)
@@ -215,27 +257,21 @@ def extract_aadhaar(df: DataFrame, text: str = "raw_text", payload: str | None =
 
 def vehicle_classes(text: Column) -> Column:
     """ARR-1: codes occurring in the text, in list order; NULL when none does."""
-    upper = F.upper(text)
-    found = F.filter(F.array(*[F.lit(c) for c in rules.VEHICLE_CLASSES]), lambda c: upper.contains(c))
-    return F.when(F.size(found) > 0, found)
+    codes = F.array(*[F.lit(c) for c in rules.VEHICLE_CLASSES])
+    found = T.let(F.upper(text), lambda upper: F.filter(codes, lambda c: upper.contains(c)))
+    return T.let(found, lambda f: F.when(F.size(f) > 0, f))
 
 
 def name_before_relation(lines: Column) -> Column:
     """WIN-8: the line right before the first relation or birth line that passes."""
-    candidates = F.transform(
-        F.transform(lines, name_letters),
-        lambda x, i: F.when(
-            F.get(lines, i + 1).isNotNull()
-            & F.upper(F.get(lines, i + 1)).rlike(alternation(RELATION_WORDS))
-            & F.length(x).between(3, 35)
-            & ~F.upper(x).rlike(alternation(rules.LICENCE_NAME_FORBIDDEN)),
-            x,
-        ),
-    )
-    return F.get(F.filter(candidates, lambda x: x.isNotNull()), F.lit(0))
+    before = F.filter(
+        lines, lambda x, i: T.contains_any(F.upper(F.coalesce(F.get(lines, i + 1), F.lit(""))), RELATION_WORDS))
+    passing = F.filter(F.transform(before, name_letters), lambda x: F.length(x).between(3, 35)
+                       & ~F.upper(x).rlike(alternation(rules.LICENCE_NAME_FORBIDDEN)))
+    return F.get(passing, F.lit(0))
 
 
-def licence_number(text: Column) -> Column:
+def licence_number(text: Column, upper: Column) -> Column:
     """First of four shapes whose cleaned value has at least ten characters."""
     shapes = (
         r"(?i)\b([A-Z]{2}[-\s]?[0-9]{2}[-\s]?[0-9]{4}[-\s]?[0-9]{7})\b",
@@ -243,32 +279,38 @@ def licence_number(text: Column) -> Column:
         r"(?i)\b([A-Z]{2}[-\s]?[0-9]{12,14})\b",
         r"(?i)\b(?:DL\s*NO|LICENCE\s*NO|DL)\.?\s*[:\s]*([A-Z0-9/\-\s]{10,20})\b",
     )
-    cleaned = [clean_identifier(first_match(text, s)) for s in shapes]
-    return F.coalesce(*[F.when(F.length(c) >= 10, c) for c in cleaned])
+    guards = (
+        text.rlike("[0-9]{7}"), text.rlike("[0-9]{11}"), text.rlike("[0-9]{12}"),
+        T.contains_any(upper, ("DL", "LICENCE")),
+    )
+    cleaned = [clean_identifier(F.when(g, first_match(text, s))) for g, s in zip(guards, shapes, strict=True)]
+    return F.coalesce(*[T.let(c, lambda x: F.when(F.length(x) >= 10, x)) for c in cleaned])
 
 
 def licence_struct(body: Column) -> Column:
     """EXT-4."""
-    labelled = first_match(body, rf"(?i)(?:Name|Holder|Name of Holder)\s*[:\s]*({NAME_CHARS}{{2,35}})")
-    name = T.let(labelled, lambda x: F.when(
-        x.isNotNull(), F.when(F.length(first_line(x)) >= 2, first_line(x))
-    ).otherwise(T.let(text_lines(body), name_before_relation)))
+    return T.let(F.upper(body), lambda upper: _licence_struct(body, upper))
 
-    def dated(labels: str) -> Column:
-        return slash_dates(first_match(body, rf"(?i)(?:{labels})\s*[:\s]*({DATE})"))
 
+def _licence_struct(body: Column, upper: Column) -> Column:
+    labelled = T.guarded(upper, ("NAME", "HOLDER"), first_match(
+        body, rf"(?i)(?:Name|Holder|Name of Holder)\s*[:\s]*({NAME_CHARS}{{2,35}})"))
+    name = T.let(labelled, lambda x: F.when(
+        x.isNotNull(), F.when(F.length(first_line(x)) >= 2, first_line(x))
+    ).otherwise(T.guarded(upper, RELATION_WORDS, T.let(text_lines(body), name_before_relation))))
+    blood = first_match(body, r"(?i)(?:Blood Group|BG)\s*[:\s]*([ABO][+-])")
+    relation = first_match(
+        body, rf"(?i)(?:S/O|D/O|W/O|Son of|Daughter of|Wife of)\s*[:\s]*({NAME_CHARS}{{2,35}})")
     return F.struct(
-        licence_number(body).alias("dl_number"),
-        F.coalesce(dated("DOB|Date of Birth|Birth"), slash_dates(first_match(body, rf"\b({DATE})\b"))).alias("dob"),
+        licence_number(body, upper).alias("dl_number"),
+        F.coalesce(labelled_date(body, upper, ("DOB", "Date of Birth", "Birth")), any_date(body)).alias("dob"),
         name.alias("name"),
-        dated("Issue Date|DOI|Issued").alias("issue_date"),
-        dated("Validity|Valid Till|NT").alias("validity_nt"),
-        vehicle_classes(body).alias("vehicle_classes"),
-        first_match(body, r"(?i)(?:Blood Group|BG)\s*[:\s]*([ABO][+-])").alias("blood_group"),
-        none_if_blank(strip(first_match(
-            body, rf"(?i)(?:S/O|D/O|W/O|Son of|Daughter of|Wife of)\s*[:\s]*({NAME_CHARS}{{2,35}})"
-        ))).alias("relation_name"),
-        address_with_pin(body, "Address|Add").alias("address"),
+        labelled_date(body, upper, ("Issue Date", "DOI", "Issued")).alias("issue_date"),
+        labelled_date(body, upper, ("Validity", "Valid Till", "NT")).alias("validity_nt"),
+        vehicle_classes(upper).alias("vehicle_classes"),
+        T.guarded(upper, ("BLOOD GROUP", "BG"), blood).alias("blood_group"),
+        none_if_blank(strip(T.guarded(upper, RELATION_WORDS[:-1], relation))).alias("relation_name"),
+        address_with_pin(body, upper, ("Address", "Add")).alias("address"),
     )
 
 
@@ -285,59 +327,77 @@ def _viz_date(c: Column) -> Column:
 
 def passport_struct(body: Column, zone: Column) -> Column:
     """EXT-2: MRZ values first, then the labelled values of the visual zone."""
-    upper = F.upper(body)
+    return T.let(F.upper(body), lambda upper: _passport_struct(body, upper, zone))
+
+
+def _passport_struct(body: Column, upper: Column, zone: Column) -> Column:
+    def line_after(words: tuple[str, ...], labels: str, chars: str) -> Column:
+        """First line of the value after a label; `words`: what any label holds."""
+        value = first_match(body, rf"(?iu)(?:{labels})[\s.:]*({chars})")
+        return strip(first_line(T.guarded(upper, words, value)))
+
+    def dated(words: tuple[str, ...], labels: str) -> Column:
+        value = first_match(body, rf"(?iu)(?:{labels})[\s.:]*({LOOSE_DATE})")
+        return _viz_date(T.guarded(upper, words, F.when(body.rlike(LOOSE_DATE_GUARD), value)))
 
-    def line_after(labels: str, chars: str) -> Column:
-        return strip(first_line(first_match(body, rf"(?iu)(?:{labels})[\s.:]*({chars})")))
+    def loose_date(pattern: str) -> Column:
+        return _viz_date(F.when(body.rlike(LOOSE_DATE_GUARD), first_match(body, rf"\b({pattern})\b")))
 
     number = zone["passport_number"]
     seen_number = F.upper(F.coalesce(
-        first_match(body, r"\b([A-PR-WYa-pr-wy][0-9]{7})\b"),
-        first_match(body, r"(?i)(?:Passport\s*No|Passport\s*Number)[\s.:]*([A-Z0-9]{8,9})"),
+        F.when(body.rlike("[0-9]{7}"), first_match(body, r"\b([A-PR-WYa-pr-wy][0-9]{7})\b")),
+        T.guarded(upper, ("PASSPORT",), first_match(
+            body, r"(?i)(?:Passport\s*No|Passport\s*Number)[\s.:]*([A-Z0-9]{8,9})")),
     ))
     surname = F.coalesce(
         none_if_blank(zone["surname"]),
-        line_after(r"Surname|Nom|1\.\s*उपनाम", NAME_CHARS + "{2,35}"), zone["surname"])
+        line_after(("SURNAME", "NOM", "उपनाम"), r"Surname|Nom|1\.\s*उपनाम", NAME_CHARS + "{2,35}"), zone["surname"])
     given = F.coalesce(
         none_if_blank(zone["given_name"]),
-        line_after(r"Given\s*Name[s]?|Pr[ée]nom|2\.\s*दिया\s*गया\s*नाम", NAME_CHARS + "{2,35}"), zone["given_name"])
+        line_after(("GIVEN", "NOM", "दिया"), r"Given\s*Name[s]?|Pr[ée]nom|2\.\s*दिया\s*गया\s*नाम", NAME_CHARS + "{2,35}"), zone["given_name"])
     zone_name = none_if_blank(strip(F.concat_ws(" ", zone["surname"], zone["given_name"])))
-    labelled_dob = first_match(
-        body, rf"(?iu)(?:Date\s*of\s*Birth|Date\s*de\s*naissance|DOB|5\.\s*जन्मतिथि)[\s.:]*({LOOSE_DATE})")
-    plain_dob = first_match(body, rf"\b({DAY}[-/. ]{MONTH}[-/. ](?:19[0-9]{{2}}|20[0-2][0-9]))\b")
+    labelled_dob = dated(("BIRTH", "NAISSANCE", "DOB", "जन्मतिथि"),
+                         r"Date\s*of\s*Birth|Date\s*de\s*naissance|DOB|5\.\s*जन्मतिथि")
+    plain_dob = loose_date(rf"{DAY}[-/. ]{MONTH}[-/. ](?:19[0-9]{{2}}|20[0-2][0-9])")
     split_dob = rf"\b({DAY})\s*\n\s*(19[0-9]{{2}}|20[0-2][0-9])\b"
-    split_day, split_year = first_match(body, split_dob, 1), first_match(body, split_dob, 2)
+    split_day, split_year = (F.when(
+        body.rlike(r"[0-9]\s*\n\s*[12]"), first_match(body, split_dob, i)) for i in (1, 2))
     joined_dob = F.concat(split_day, F.lit("/01/"), split_year)
     zone_dob = none_if_blank(zone["dob"])
-    full_dob = F.coalesce(_viz_date(labelled_dob), zone_dob, _viz_date(plain_dob))
+    full_dob = F.coalesce(labelled_dob, zone_dob, plain_dob)
     partial = rf"\b({MONTH})[-/. ](20[12][0-9])\b"
+    partial_month, partial_year = (F.when(
+        body.rlike("[0-9][-/. ]20[12]"), first_match(body, partial, i)) for i in (1, 2))
     issued = F.coalesce(
-        _viz_date(first_match(
-            body, rf"(?iu)(?:Date\s*of\s*Issue|Date\s*de\s*d[ée]livrance|Issue|8\.\s*जारी)[\s.:]*({LOOSE_DATE})")),
-        _viz_date(first_match(body, rf"\b({DAY}[-/. ]{MONTH}[-/. ]20[12][0-9])\b")),
-        F.concat(F.lit("01/"), first_match(body, partial, 1), F.lit("/"), first_match(body, partial, 2)),
+        dated(("ISSUE", "VRANCE", "जारी"), r"Date\s*of\s*Issue|Date\s*de\s*d[ée]livrance|Issue|8\.\s*जारी"),
+        loose_date(rf"{DAY}[-/. ]{MONTH}[-/. ]20[12][0-9]"),
+        F.concat(F.lit("01/"), partial_month, F.lit("/"), partial_year),
     )
     expires = F.coalesce(
-        _viz_date(first_match(
-            body, rf"(?iu)(?:Date\s*of\s*Expiry|Date\s*d'expiration|Expiry|9\.\s*समाप्ति)[\s.:]*({LOOSE_DATE})")),
+        dated(("EXPIR", "समाप्ति"), r"Date\s*of\s*Expiry|Date\s*d'expiration|Expiry|9\.\s*समाप्ति"),
         none_if_blank(zone["expiry_date"]),
-        _viz_date(first_match(body, rf"\b({DAY}[-/. ]{MONTH}[-/. ]20[2-4][0-9])\b")),
+        loose_date(rf"{DAY}[-/. ]{MONTH}[-/. ]20[2-4][0-9]"),
     )
-    city = F.upper(first_match(body, r"(?i)\b(" + alternation(rules.BIRTH_CITIES) + r")\b"))
+    city = F.upper(T.guarded(upper, rules.BIRTH_CITIES, first_match(
+        body, r"(?i)\b(" + alternation(rules.BIRTH_CITIES) + r")\b")))
     born_at = F.coalesce(
-        line_after(r"Place\s*of\s*Birth|Lieu\s*de\s*naissance|7\.\s*जन्म\s*स्थान", r"[A-Za-z\s,]+"),
-        first_match(body, r"\b([A-Z]{3,15}\s*,\s*IND)\b"),
+        line_after(("BIRTH", "NAISSANCE", "जन्म"), r"Place\s*of\s*Birth|Lieu\s*de\s*naissance|7\.\s*जन्म\s*स्थान", r"[A-Za-z\s,]+"),
+        F.when(body.contains("IND"), first_match(body, r"\b([A-Z]{3,15}\s*,\s*IND)\b")),
         F.concat(city, F.lit(", IND")),
     )
     issued_at = F.coalesce(
-        line_after(r"Place\s*of\s*Issue|10\.\s*जारी\s*करने\s*का\s*स्थान", r"[A-Za-z\s]+"),
-        first_match(body, r"(?i)\b(RPO\s+[A-Za-z]+)\b"),
+        line_after(("ISSUE", "जारी"), r"Place\s*of\s*Issue|10\.\s*जारी\s*करने\s*का\s*स्थान", r"[A-Za-z\s]+"),
+        T.guarded(upper, ("RPO",), first_match(body, r"(?i)\b(RPO\s+[A-Za-z]+)\b")),
     )
-    sex_label = r"(?iu)(?:Sex|Sexe|6\.\s*लिंग)[\s.:]*"
+
+    def labelled_sex(letter: str) -> Column:
+        pattern = rf"(?iu)(?:Sex|Sexe|6\.\s*लिंग)[\s.:]*{letter}\b"
+        return T.contains_any(upper, ("SEX", "लिंग")) & body.rlike(pattern)
+
     sex = F.coalesce(
         none_if_blank(zone["sex"]),
-        F.when(body.rlike(sex_label + r"F\b") | body.rlike(r"(?i)\bFEMALE\b"), "F")
-        .when(body.rlike(sex_label + r"M\b") | body.rlike(r"(?i)\bMALE\b"), "M"),
+        F.when(labelled_sex("F") | (upper.contains("FEMALE") & body.rlike(r"(?i)\bFEMALE\b")), "F")
+        .when(labelled_sex("M") | (upper.contains("MALE") & body.rlike(r"(?i)\bMALE\b")), "M"),
     )
     zone_nation = none_if_blank(zone["nationality"])
     unread_nation = zone_nation.isNull() | (zone_nation == "ND8")
@@ -348,7 +408,7 @@ def passport_struct(body: Column, zone: Column) -> Column:
     name = T.let(names, lambda n: F.struct(
         n["s"].alias("surname"), n["g"].alias("given_name"),
         F.when((n["s"] != "") & (n["g"] != ""), F.concat_ws(" ", n["s"], n["g"])).otherwise(
-            F.coalesce(zone_name, line_after("Name|Holder", NAME_CHARS + "{2,35}"))).alias("name")))
+            F.coalesce(zone_name, line_after(("NAME", "HOLDER"), "Name|Holder", NAME_CHARS + "{2,35}"))).alias("name")))
     return T.let(name, lambda n: F.struct(
         F.when(number.rlike("^[A-Z][0-9]{7}$"), number).otherwise(F.coalesce(seen_number, number))
         .alias("passport_number"),
@@ -364,9 +424,10 @@ def passport_struct(body: Column, zone: Column) -> Column:
         expires.alias("date_of_expiry"),
         born_at.alias("place_of_birth"),
         issued_at.alias("place_of_issue"),
-        strip(first_match(body, r"(?iu)(?:TAM|TAMIL|HINDI|स्थानीय\s*भाषा)[\s.:]*[^\n]+", 0))
+        strip(T.guarded(upper, ("TAM", "HINDI", "स्थानीय"), first_match(
+            body, r"(?iu)(?:TAM|TAMIL|HINDI|स्थानीय\s*भाषा)[\s.:]*[^\n]+", 0)))
         .alias("name_in_local_language"),
-        line_after(r"Signature|11\.\s*हस्ताक्षर", r"[A-Za-z\s]+").alias("signature"),
+        line_after(("SIGNATURE", "हस्ताक्षर"), r"Signature|11\.\s*हस्ताक्षर", r"[A-Za-z\s]+").alias("signature"),
         F.coalesce(zone["mrz_checksum_valid"], F.lit(False)).alias("mrz_checksum_valid"),
         F.coalesce(zone["mrz_checksum_lenient"], F.lit(False)).alias("mrz_checksum_lenient"),
         zone["mrz_raw"].alias("mrz_raw"),
@@ -379,7 +440,10 @@ def extract_passport(df: DataFrame, text: str = "raw_text", into: str = "passpor
 
 def visa_struct(body: Column, zone: Column) -> Column:
     """EXT-3."""
-    upper = F.upper(body)
+    return T.let(F.upper(body), lambda upper: _visa_struct(body, upper, zone))
+
+
+def _visa_struct(body: Column, upper: Column, zone: Column) -> Column:
 
     def first_word(*words: tuple[str, str]) -> Column:
         found = F.when(upper.contains(words[0][0]), words[0][1])

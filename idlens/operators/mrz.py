@@ -30,7 +30,8 @@ def candidate_lines(text: Column) -> Column:
         F.transform(F.regexp_extract_all(F.upper(text), F.lit(RUN_PATTERN), F.lit(0)), _mrz_letters),
         lambda x: x.contains("<") & (F.length(x) >= 30),
     )
-    return F.when(F.size(lines) < 2, F.array_union(lines, runs)).otherwise(lines)
+    return let(lines, lambda found: F.when(
+        (F.size(found) < 2) & text.contains("<"), F.array_union(found, runs)).otherwise(found))
 
 
 def two_longest(lines: Column) -> Column:
