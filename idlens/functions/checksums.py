@@ -1,7 +1,6 @@
 """Check digits: Verhoeff for 12-digit ids, ICAO 9303 for machine-readable zones.
 
-Both are unrolled over their fixed lengths, so they stay inside generated code
-(no lambda, no UDF).
+Both are unrolled over their fixed lengths and need no UDF.
 """
 
 from __future__ import annotations
@@ -11,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from idlens.functions.text import let
+
 # Fixed value: the permutation that Verhoeff's scheme repeats per digit position.
 _BASE_PERMUTATION = (1, 5, 7, 6, 2, 8, 3, 0, 9, 4)
 
@@ -33,19 +34,22 @@ PRODUCT = [_dihedral(j, k) for j in range(10) for k in range(10)]
 PERMUTATION = _permutations()
 
 
-def _table(values: list[int]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+def _looked_up(values: list[int], index: Column) -> Column:
+    """Entry of a table of single digits, kept as one text literal."""
+    return F.ascii(F.substring(F.lit("".join(map(str, values))), index + 1, 1)) - 48
 
 
 def verhoeff_valid(c: Column, length: int = 12) -> Column:
     """MTH-1: true iff the digits of `c` number `length` and check to zero."""
-    digits = F.regexp_replace(c, "[^0-9]", "")
-    product = _table(PRODUCT)
-    state = F.lit(0)
-    for i in range(length):
-        digit = F.ascii(F.substring(digits, length - i, 1)) - 48
-        state = F.get(product, state * 10 + F.get(_table(PERMUTATION[i % 8]), digit))
-    return F.coalesce(F.when(F.length(digits) == length, state == 0), F.lit(False))
+    def state(digits: Column) -> Column:
+        value = F.lit(0)
+        for i in range(length):
+            digit = F.ascii(F.substring(digits, length - i, 1)) - 48
+            value = _looked_up(PRODUCT, value * 10 + _looked_up(PERMUTATION[i % 8], digit))
+        return value
+
+    checked = let(F.regexp_replace(c, "[^0-9]", ""), lambda d: F.when(F.length(d) == length, state(d) == 0))
+    return F.coalesce(checked, F.lit(False))
 
 
 # Fixed values of ICAO Doc 9303: character values and repeating weights.

@@ -506,15 +506,20 @@ def extract_fields(
 
     def by_type(kind: Column) -> Column:
         own = ["aadhaar", "driving_licence", "visa", *extras]
-        parts = {
-            "aadhaar": F.when(kind == "aadhaar", aadhaar_struct(body, qr, F.col(blocks) if blocks else None)),
-            "passport": F.when(~kind.isin(*own), T.let(mrz_of(body), lambda z: passport_struct(body, z))),
-            "visa": F.when(kind == "visa", T.let(mrz_of(body), lambda z: visa_struct(body, z))),
-            "licence": F.when(kind == "driving_licence", licence_struct(body)),
-        }
-        for i, (name, fn) in enumerate(extras.items()):
-            parts[f"extra{i}"] = F.when(kind == name, fn(body, text_lines(body), qr))
-        return F.struct(*[c.alias(n) for n, c in parts.items()])
+
+        def with_zone(zone: Column) -> Column:
+            parts = {
+                "aadhaar": F.when(kind == "aadhaar", aadhaar_struct(body, qr, F.col(blocks) if blocks else None)),
+                "passport": F.when(~kind.isin(*own), passport_struct(body, zone)),
+                "visa": F.when(kind == "visa", visa_struct(body, zone)),
+                "licence": F.when(kind == "driving_licence", licence_struct(body)),
+            }
+            for i, (name, fn) in enumerate(extras.items()):
+                parts[f"extra{i}"] = F.when(kind == name, fn(body, text_lines(body), qr))
+            return F.struct(*[c.alias(n) for n, c in parts.items()])
+
+        zoned = ~kind.isin(*[k for k in own if k != "visa"])
+        return T.let(F.when(zoned, mrz_of(body)), with_zone)
 
     staged = df.withColumn("_parts", T.let(normal_doc_type(F.coalesce(F.col(doc_type), F.lit(""))), by_type))
     known = {f.name: set(f.dataType.names) for f in staged.schema["_parts"].dataType.fields}
