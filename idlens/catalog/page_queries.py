@@ -160,7 +160,7 @@ def box_frame(spark, sf):
 
 @register("flt8_overlap_exclusion", """
 SELECT b.doc_id, b.seq, b.x1, b.y1, b.x2, b.y2 FROM boxes b LEFT JOIN photos p ON b.doc_id = p.doc_id
-WHERE NOT coalesce(least(b.x2, p.x2) > greatest(b.x1, p.x1) AND least(b.y2, p.y2) > greatest(b.y1, p.y1)
+WHERE p.doc_id IS NULL OR NOT coalesce(least(b.x2, p.x2) > greatest(b.x1, p.x1) AND least(b.y2, p.y2) > greatest(b.y1, p.y1)
   AND (least(b.x2, p.x2) - greatest(b.x1, p.x1)) * (least(b.y2, p.y2) - greatest(b.y1, p.y1)) / ((b.x2 - b.x1) * (b.y2 - b.y1))::DOUBLE > 0.15::DOUBLE, false)""", ("boxes", "photos"))
 def _(spark, sf):
     photos = rel(spark, sf, "photos").select("doc_id", F.array("x1", "y1", "x2", "y2").alias("bbox"))

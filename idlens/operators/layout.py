@@ -77,11 +77,12 @@ def keep_target_fields(fields_long: DataFrame, side_rules: DataFrame, doc_type:
 
 
 def overlap_share(box: Column, other: Column) -> Column:
-    """Share of `box` covered by `other`; boxes are [x1, y1, x2, y2]."""
+    """Share of `box` covered by `other`; boxes are [x1, y1, x2, y2]. Nothing is
+    covered by a missing box (least and greatest skip NULLs, so that is asked)."""
     width = F.least(box[2], other[2]) - F.greatest(box[0], other[0])
     height = F.least(box[3], other[3]) - F.greatest(box[1], other[1])
     area = (box[2] - box[0]) * (box[3] - box[1])
-    return F.when((width > 0) & (height > 0) & (area > 0), width * height / area).otherwise(F.lit(0.0))
+    return F.when(other.isNotNull() & (width > 0) & (height > 0) & (area > 0), width * height / area).otherwise(F.lit(0.0))
 
 
 def exclude_overlaps(candidates: DataFrame, photos: DataFrame, keys: list[str], limit: float = 0.15) -> DataFrame:
