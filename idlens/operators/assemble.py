@@ -74,14 +74,17 @@ def pick_engine(ocr: DataFrame, keys: list[str], pref: str = "auto", engines=rul
     for i, name in enumerate(wanted):
         rank = rank.when(F.col("engine") == name, i)
     usable = F.length(strip(F.col("raw_text"))) > rules.MIN_OCR_CHARS
-    ranked = ocr.withColumn("_rank", F.when(usable, rank).otherwise(None))
+    ranked = ocr.withColumn("_rank", F.when(usable, rank))
+    chosen = F.col("_rank").isNotNull()
+    core = ("engine", "raw_text", "confidence_score")
+    others = [c for c in ocr.columns if c not in (*keys, *core)]
     # unusable rows stay as placeholders of their page, ranked last and emptied
     ranked = ranked.select(
         *keys, F.coalesce("_rank", F.lit(len(wanted))).alias("_rank"),
-        F.when(F.col("_rank").isNull(), rules.FALLBACK_ENGINE).otherwise(F.col("engine")).alias("engine"),
-        F.when(F.col("_rank").isNull(), "").otherwise(F.col("raw_text")).alias("raw_text"),
-        F.when(F.col("_rank").isNull(), rules.FALLBACK_CONFIDENCE).otherwise(F.col("confidence_score"))
-        .alias("confidence_score"),
+        F.when(chosen, F.col("engine")).otherwise(rules.FALLBACK_ENGINE).alias("engine"),
+        F.when(chosen, F.col("raw_text")).otherwise("").alias("raw_text"),
+        F.when(chosen, F.col("confidence_score")).otherwise(rules.FALLBACK_CONFIDENCE).alias("confidence_score"),
+        *[F.when(chosen, F.col(c)).alias(c) for c in others],
     )
     w = W.partitionBy(*keys).orderBy("_rank", "raw_text", "confidence_score")
     return ranked.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_rank")
