@@ -1,12 +1,10 @@
 """Check digits: Verhoeff for 12-digit ids, ICAO 9303 for machine-readable zones.
 
-Both are unrolled over their fixed lengths and need no UDF.
+Both fold over their digits with built-in functions; no UDF is needed.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,12 +39,14 @@ def _looked_up(values: list[int], index: Column) -> Column:
 
 def verhoeff_valid(c: Column, length: int = 12) -> Column:
     """MTH-1: true iff the digits of `c` number `length` and check to zero."""
+    moves = [d for row in PERMUTATION for d in row]
+
     def state(digits: Column) -> Column:
-        value = F.lit(0)
-        for i in range(length):
+        def step(value: Column, i: Column) -> Column:
             digit = F.ascii(F.substring(digits, length - i, 1)) - 48
-            value = _looked_up(PRODUCT, value * 10 + _looked_up(PERMUTATION[i % 8], digit))
-        return value
+            return _looked_up(PRODUCT, value * 10 + _looked_up(moves, (i % 8) * 10 + digit))
+
+        return F.aggregate(F.sequence(F.lit(0), F.lit(length - 1)), F.lit(0), step)
 
     checked = let(F.regexp_replace(c, "[^0-9]", ""), lambda d: F.when(F.length(d) == length, state(d) == 0))
     return F.coalesce(checked, F.lit(False))
@@ -59,14 +59,14 @@ ICAO_WEIGHTS = (7, 3, 1)
 
 def icao_digit(c: Column, length: int) -> Column:
     """Check digit of the first `length` characters ('<' counts 0)."""
-    terms = [
-        _char_value(F.substring(c, i + 1, 1)) * ICAO_WEIGHTS[i % 3] for i in range(length)
-    ]
-    return reduce(lambda a, b: a + b, terms) % 10
+    weights = F.array(*[F.lit(w) for w in ICAO_WEIGHTS])
 
+    def weighted(ch: Column, i: Column) -> Column:
+        value = F.greatest(F.position(ch, F.lit(ICAO_CHARACTERS)) - 1, F.lit(0))
+        return value * F.get(weights, i % 3)
 
-def _char_value(ch: Column) -> Column:
-    return F.greatest(F.position(ch, F.lit(ICAO_CHARACTERS)) - 1, F.lit(0))
+    values = F.transform(F.split(F.substring(c, 1, length), ""), weighted)
+    return F.aggregate(values, F.lit(0), lambda acc, v: acc + v) % 10
 
 
 def icao_matches(data: Column, length: int, digit: Column, empty_ok: bool = False) -> Column:
