@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from idlens import rules
 from idlens.catalog.inputs import FIELD_COLUMNS
 from idlens.catalog.registry import (
-    WS,
     field_frame,
     joined,
     kind_sql,
@@ -22,7 +21,6 @@ from idlens.catalog.registry import (
 )
 from idlens.catalog.text_queries import MRZ_SQL, NAME_OK_SQL, typed_sql, verhoeff_sql
 from idlens.functions import text as T
-from idlens.functions.numbers import round_even
 from idlens.operators import extract as X
 from idlens.operators.classify import classify
 from idlens.operators.crosscheck import containment_rate, cross_check, match_faces, verify_registry

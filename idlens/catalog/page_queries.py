@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from idlens import rules
 from idlens.catalog.inputs import FIELD_COLUMNS
-from idlens.catalog.registry import WS, field_frame, joined, kind_sql, q, register, rel, strip_sql
+from idlens.catalog.registry import field_frame, joined, kind_sql, register, rel, strip_sql
 from idlens.catalog.text_queries import typed_sql
-from idlens.functions.numbers import epoch_millis, round_even
+from idlens.functions.numbers import epoch_millis
 from idlens.operators import assemble as A
 from idlens.operators import fields as P
 from idlens.operators import layout as L
@@ -16,7 +16,6 @@ from idlens.operators.classify import classify
 from idlens.operators.extract import fields_long
 from idlens.operators.history import newest_first
 from idlens.operators.risk import history_items
-from idlens.operators.sessions import consolidate
 from idlens.plans.batch import first_pages, process_pages, result_columns, run_batch
 from idlens.session import scratch_path
 from idlens.sources import readers, sinks

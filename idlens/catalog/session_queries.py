@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from idlens import rules
-from idlens.catalog.registry import joined, kind_sql, register, rel
+from idlens.catalog.registry import joined, register, rel
 from idlens.functions.numbers import epoch_millis
 from idlens.operators import history as H
 from idlens.operators import sessions as S

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from idlens import rules
-from idlens.catalog.registry import WS, field_frame, joined, lines_sql, name_letters_sql, q, register, rel, strip_sql
+from idlens.catalog.registry import joined, lines_sql, name_letters_sql, q, register, rel, strip_sql
 from idlens.functions import numbers as N
 from idlens.functions import text as T
 from idlens.functions.checksums import PERMUTATION, PRODUCT, verhoeff_valid
