@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from idlens.llm import decontam, mixing, sharding
+from idlens.llm import decontam, mixing, sharding, simhash
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -37,10 +37,16 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, QueryFn] = {
     "op3_mix_sources": op3_mix_sources,
     "op5_decontaminate": op5_decontaminate,
     "op7_shards": op7_shards,
+    "op8_simhash": op8_simhash,
 }
 
 ORACLES: dict[str, str] = {}
