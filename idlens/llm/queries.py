@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from idlens.llm import decontam, mixing, sharding, simhash
+from idlens.llm import decontam, linededup, mixing, sharding, simhash
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +33,11 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_exact", "n_near", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
+
+
 def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents")).withColumn("grown_shard", F.lit(None).cast("int"))
 
@@ -45,6 +50,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, QueryFn] = {
     "op3_mix_sources": op3_mix_sources,
     "op5_decontaminate": op5_decontaminate,
+    "op6_line_dedup": op6_line_dedup,
     "op7_shards": op7_shards,
     "op8_simhash": op8_simhash,
 }
