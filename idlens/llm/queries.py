@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from idlens.llm import decontam, linededup, mixing, sharding, simhash
+from idlens.llm import decontam, linededup, mixing, quality, sharding, simhash
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -47,12 +47,18 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES: dict[str, QueryFn] = {
     "op3_mix_sources": op3_mix_sources,
     "op5_decontaminate": op5_decontaminate,
     "op6_line_dedup": op6_line_dedup,
     "op7_shards": op7_shards,
     "op8_simhash": op8_simhash,
+    "op9_quality": op9_quality,
 }
 
 ORACLES: dict[str, str] = {}
