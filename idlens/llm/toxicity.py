@@ -40,7 +40,7 @@ DECAY = 0.7
 WINDOW = 16  # symbols
 PIECE = 1 << 19  # symbols of text worked on at a time
 THRESHOLD = 0.7
-PRIOR = 0.3  # share of toxic texts that scores are set for
+PRIOR = 0.4  # share of toxic texts that scores are set for
 
 MARK = 27
 PATTERNS = [(0, *p) for p in combinations(range(1, SPAN), ORDER - 1)]
