@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from idlens.llm import chat, decontam, langid, linededup, mixing, quality, sharding, simhash, toxicity
+from idlens.llm import chat, decontam, langid, linededup, mixing, quality, sharding, simhash, tokens, toxicity
 from idlens.llm.common import held_out
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,16 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -78,6 +88,7 @@ QUERIES: dict[str, QueryFn] = {
     "op1_language_id": op1_language_id,
     "op2_chat_format": op2_chat_format,
     "op3_mix_sources": op3_mix_sources,
+    "op4_token_ids": op4_token_ids,
     "op5_decontaminate": op5_decontaminate,
     "op6_line_dedup": op6_line_dedup,
     "op7_shards": op7_shards,
