@@ -61,7 +61,7 @@ def sainte_lague(targets: DataFrame, block_words: int = BLOCK_WORDS, shards: int
     """
     everything = Window.partitionBy()
     house = F.floor(F.floor(F.col("_all") / block_words) * F.col("_upto_shard") / shards)
-    lines = targets.withColumn("_all", F.sum("target").over(everything)).withColumn(
+    lines = targets.withColumn("_all", F.round(F.sum("target").over(everything))).withColumn(
         "_upto_shard", F.explode(F.sequence(F.lit(1), F.lit(shards)))).withColumn("_house", house)
     seats = F.floor(F.col("target") * F.col("_house") / F.when(F.col("_all") > 0, F.col("_all")) + 0.5)
     most = F.floor(F.col("source_size") * limit / block_words)
@@ -74,8 +74,11 @@ def sainte_lague(targets: DataFrame, block_words: int = BLOCK_WORDS, shards: int
         "_seat", F.when(F.col("_open") > 0, F.col("_seats") + F.col("_step")).otherwise(F.col("_seats") - 1 - F.col("_step")))
     near = near.where((F.col("_seat") >= 0) & (F.col("_seat") < F.col("_most"))).withColumn(
         "_quotient", F.col("target") / (2 * F.col("_seat") + 1))
+    # equal quotients: the first source in code point order has the seat, so the last one gives it up
+    adds = F.col("_open") > 0
     rank = F.row_number().over(Window.partitionBy("_upto_shard").orderBy(
-        F.when(F.col("_open") > 0, -F.col("_quotient")).otherwise(F.col("_quotient")), F.col("source").asc_nulls_last(), "_step"))
+        F.when(adds, -F.col("_quotient")).otherwise(F.col("_quotient")), F.when(adds, F.col("source").isNull()).otherwise(F.col("source").isNotNull()),
+        F.when(adds, F.col("source")).asc(), F.when(~adds, F.col("source")).desc(), "_step"))
     moved = near.withColumn("_rank", rank).where(F.col("_rank") <= F.abs(F.col("_open"))).groupBy("source", "_upto_shard").agg(
         F.sum(F.signum("_open")).cast("bigint").alias("_moved"))
     both = lines.alias("l").join(moved.alias("m"), F.col("l.source").eqNullSafe(F.col("m.source")) & (

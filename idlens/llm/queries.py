@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from idlens.llm import chat, decontam, langid, linededup, mixing, quality, sharding, simhash, tokens, toxicity
 from idlens.llm.common import held_out
+from idlens.llm.oracle import ORACLES  # noqa: F401
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -60,7 +61,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_lines", "n_exact", "n_near", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
+        "doc_id", "n_lines", "n_exact", "n_near", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
 
 
 def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,5 +97,3 @@ QUERIES: dict[str, QueryFn] = {
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
 }
-
-ORACLES: dict[str, str] = {}
