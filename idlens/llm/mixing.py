@@ -21,7 +21,7 @@ from idlens.llm.common import cut, words
 
 WEIGHTS = (5, 2, 1)
 LIMIT = 3  # no source or document is taken more often
-BLOCK_WORDS = 16
+BLOCK_WORDS = 4  # small, so that a small source comes near its target, too
 SHARDS = 8
 SEED = 42
 

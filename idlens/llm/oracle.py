@@ -42,10 +42,10 @@ targets AS (
     / nullif(sum(weight) OVER () - coalesce(sum(weight) FILTER (stops) OVER (), 0), 0)), 0)::DOUBLE END AS target FROM levels),
 seats AS (
   SELECT source, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, source NULLS LAST) AS place
-  FROM targets, unnest(range(3 * source_size // 16)) AS u(k) WHERE target > 0),
+  FROM targets, unnest(range(3 * source_size // 4)) AS u(k) WHERE target > 0),
 quotas AS (
-  SELECT t.source, t.source_size, t.target, count(s.place) * 16 AS words
-  FROM targets t LEFT JOIN (SELECT * FROM seats WHERE place <= (SELECT round(sum(target))::BIGINT // 16 FROM targets)) s
+  SELECT t.source, t.source_size, t.target, count(s.place) * 4 AS words
+  FROM targets t LEFT JOIN (SELECT * FROM seats WHERE place <= (SELECT round(sum(target))::BIGINT // 4 FROM targets)) s
     ON s.source IS NOT DISTINCT FROM t.source GROUP BY ALL),
 placed AS (
   SELECT *, sum(size) OVER (PARTITION BY source ORDER BY place, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS first FROM sized)
