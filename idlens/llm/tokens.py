@@ -13,6 +13,8 @@ and remembered. That this holds for a tokenizer is tested on construction.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -27,7 +29,9 @@ from idlens.session import scratch_path
 
 END = 1
 SHARD_TOKENS = 1 << 21
-REMEMBERED = 400_000  # pieces
+REMEMBERED = 400_000  # pieces of a generation
+ODD = re.compile("[\x1c-\x1f\u03a3]")
+ENDED = re.compile(r"(.*[a-z0-9])([!-/:-@\[-`{-~]+)")
 SHARDS = "shard bigint, n_docs bigint, n_tokens bigint, image binary"
 
 
@@ -46,27 +50,44 @@ class Encoder:
         self.bare = Tokenizer.from_file(path)  # for pieces, which are normalised already
         if self.normal is not None:
             self.bare.normalizer = normalizers.Sequence([])
-        self.known: dict[bytes, bytes] = {}
-        probe = "Ab  cd.\n'S é x1 <| b"
+        # two generations of remembered pieces; what is still in use moves to the young one
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        probe = "Ab  cd.\n'S é x1 É. <| b"
         self.by_words = self.normal is not None and self._pieces_ids([self._pieces(probe)])[0] == self._ids(probe).tobytes()
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.kind)
 
-    def _pieces(self, text: str) -> list[bytes]:
-        # the normaliser composes, makes white space blanks and lower-cases; ASCII needs the last alone
-        return (text.lower() if text.isascii() else self.normal.normalize_str(text)).encode().split()
-
-    def _pieces_ids(self, texts: list[list[bytes]]) -> list[bytes]:
-        different = set().union(*texts)
-        missing = list(different.difference(self.known))
-        if len(self.known) + len(missing) > REMEMBERED:
-            self.known, missing = {}, list(different)
-        for lo in range(0, len(missing), 10_000):
-            some = missing[lo:lo + 10_000]
-            for piece, found in zip(some, self.bare.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)):
-                self.known[piece] = array(self.code, found.ids).tobytes()
-        ids = self.known.__getitem__
+    def _pieces(self, text: str) -> list[str]:
+        # the normaliser composes, makes white space blanks and lower-cases; Python does the
+        # same but for final sigma and the separators 1C to 1F
+        if (text.isascii() or unicodedata.is_normalized("NFC", text)) and not ODD.search(text):
+            return text.lower().split()
+        return self.normal.normalize_str(text).split(" ")
+
+    def _encode_pieces(self, pieces: list[str]) -> None:
+        for lo in range(0, len(pieces), 10_000):
+            some = pieces[lo:lo + 10_000]
+            for piece, found in zip(some, self.bare.encode_batch_fast(some, add_special_tokens=False)):
+                self.young[piece] = array(self.code, found.ids).tobytes()
+
+    def _pieces_ids(self, texts: list[list[str]]) -> list[bytes]:
+        if len(self.young) > REMEMBERED:
+            self.young, self.old = {}, self.young
+        missing, ended, new = [], [], set()
+        for piece in set().union(*texts).difference(self.young):
+            if piece in self.old:
+                self.young[piece] = self.old[piece]
+            elif end := ENDED.fullmatch(piece):  # marks after a letter or digit are encoded apart
+                ended.append((piece, *end.groups()))
+                new.update(end.groups())
+            else:
+                missing.append(piece)
+        self._encode_pieces([*missing, *(new - self.young.keys() - set(missing))])
+        for piece, body, marks in ended:
+            self.young[piece] = self.young[body] + self.young[marks]
+        ids = self.young.__getitem__
         return [b"".join(map(ids, pieces)) for pieces in texts]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -76,14 +97,15 @@ class Encoder:
         return [np.frombuffer(next(found), self.kind) if e else self._ids(t) for t, e in zip(texts, easy)]
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """One encoder for each tokenizer and worker process."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """One encoder for each tokenizer and worker process. Functions travel to the workers by
+    value, so what outlives a task is kept with the tokenizers library."""
+    import tokenizers
+
+    kept = tokenizers.__dict__.setdefault("_encoders_of_worker", {})
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
 
 
 def shard_image(docs: list[tuple[int | None, np.ndarray]], bits: int) -> bytes:
