@@ -534,11 +534,11 @@ def _(spark, sf):
 @register("jn9_registry", f"""WITH r AS (SELECT doc_type, upper(regexp_replace(id_number, '[-\\s]', '', 'g')) AS id, lower(trim(name)) AS n, dob AS b, upper(substr(gender, 1, 1)) AS g FROM registry),
 c AS (SELECT doc_id, doc_type, upper(regexp_replace(id_number, '[-\\s]', '', 'g')) AS id, lower({strip_sql('name')}) AS n, dob AS b, upper(substr(gender, 1, 1)) AS g FROM claims)
 SELECT c.doc_id, r.id IS NOT NULL AS id_found, coalesce(c.n = r.n, false) AS name_verified, coalesce(c.b = r.b, false) AS dob_verified, coalesce(c.g = r.g, false) AS gender_verified,
-  coalesce(c.n = r.n AND c.b = r.b AND c.g = r.g, false) AS is_verified FROM c LEFT JOIN r ON c.doc_type = r.doc_type AND c.id = r.id WHERE NOT contains(c.id, 'X')
+  coalesce(c.n = r.n AND c.b = r.b AND c.g = r.g, false) AS is_verified FROM c LEFT JOIN r ON c.doc_type = r.doc_type AND c.id = r.id WHERE c.id IS NULL OR NOT regexp_full_match(c.id, 'X{{4,}}[0-9]{{4}}')
 UNION ALL
 SELECT c.doc_id, count(r.id) > 0, coalesce(bool_or(r.n = c.n), false), coalesce(bool_or(r.b = c.b), false), coalesce(bool_or(r.g = c.g), false),
   coalesce(bool_or(r.n = c.n AND r.b = c.b AND r.g = c.g), false)
-FROM c LEFT JOIN r ON c.doc_type = r.doc_type AND right(r.id, 4) = right(c.id, 4) WHERE contains(c.id, 'X') GROUP BY c.doc_id""", ("claims", "registry"))
+FROM c LEFT JOIN r ON c.doc_type = r.doc_type AND right(r.id, 4) = right(c.id, 4) WHERE regexp_full_match(c.id, 'X{{4,}}[0-9]{{4}}') GROUP BY c.doc_id""", ("claims", "registry"))
 def _(spark, sf):
     return verify_registry(rel(spark, sf, "claims"), rel(spark, sf, "registry"), ["doc_id"])
 

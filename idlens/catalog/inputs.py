@@ -12,8 +12,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from idlens.session import spread
-
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
     "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -162,11 +160,11 @@ FROM (SELECT doc_id, lines, unnest(range(len(lines))) AS i FROM (
 """
 
 OCR = """
-SELECT doc_id, 1 AS page_number, 'paddleocr' AS engine, substr(text, 1, cast((doc_id * 1) % 40 AS INT)) AS raw_text, cast(doc_id % 100 AS DOUBLE) AS confidence_score FROM {documents}
+SELECT doc_id, 1 AS page_number, 'paddleocr' AS engine, CASE WHEN doc_id % 4 = 0 THEN '' WHEN doc_id % 4 = 1 THEN ' too short' ELSE text END AS raw_text, cast(doc_id % 100 AS DOUBLE) AS confidence_score FROM {documents}
 UNION ALL
-SELECT doc_id, 1 AS page_number, 'easyocr' AS engine, substr(text, 1, cast((doc_id * 2) % 40 AS INT)) AS raw_text, cast(doc_id % 90 AS DOUBLE) AS confidence_score FROM {documents}
+SELECT doc_id, 1 AS page_number, 'easyocr' AS engine, CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 5 = 1 THEN 'ten chars.' ELSE text END AS raw_text, cast(doc_id % 90 AS DOUBLE) AS confidence_score FROM {documents}
 UNION ALL
-SELECT doc_id, 1 AS page_number, 'tesseract' AS engine, substr(text, 1, cast((doc_id * 3) % 40 AS INT)) AS raw_text, cast(doc_id % 80 AS DOUBLE) AS confidence_score FROM {documents}
+SELECT doc_id, 1 AS page_number, 'tesseract' AS engine, CASE WHEN doc_id % 5 = 0 THEN ' ' WHEN doc_id % 7 = 1 THEN 'eleven char' ELSE text END AS raw_text, cast(doc_id % 80 AS DOUBLE) AS confidence_score FROM {documents}
 """
 
 BOXES = """
@@ -185,9 +183,11 @@ SELECT o_orderkey AS doc_id, 1 AS page_number, cast(500 + o_orderkey % 400 AS IN
 FROM {orders}
 """
 PHOTOS = """
-SELECT o_orderkey AS doc_id, cast(o_custkey % 400 AS INT) AS x1, cast(o_custkey % 500 AS INT) AS y1,
+SELECT CASE WHEN o_orderkey % 5 = 0 THEN -o_orderkey ELSE o_orderkey END AS doc_id, cast(o_custkey % 400 AS INT) AS x1, cast(o_custkey % 500 AS INT) AS y1,
   cast(o_custkey % 400 + 180 AS INT) AS x2, cast(o_custkey % 500 + 240 AS INT) AS y2
-FROM {orders} WHERE o_orderkey % 5 <> 0
+FROM {orders}
+UNION ALL
+SELECT o_orderkey AS doc_id, 420 AS x1, 520 AS y1, 600 AS x2, cast(700 + o_custkey % 100 AS INT) AS y2 FROM {orders} WHERE o_orderkey % 3 = 1
 """
 
 PAGE_SIZES = """
@@ -260,15 +260,16 @@ FROM {orders}
 
 REGISTRY = """
 SELECT CASE doc_id % 5 WHEN 0 THEN 'aadhaar' WHEN 1 THEN 'passport' WHEN 2 THEN 'visa' ELSE 'driving_licence' END AS doc_type,
-  CASE doc_id % 5 WHEN 0 THEN uid WHEN 1 THEN concat('A', n7) WHEN 2 THEN concat('V', n7) ELSE concat('TS-0082020-', n7) END AS id_number,
+  concat(CASE doc_id % 5 WHEN 0 THEN uid WHEN 1 THEN concat('A', n7) WHEN 2 THEN CASE WHEN doc_id % 10 = 2 THEN concat('V', n7) ELSE concat('VX', n7) END
+    ELSE concat('TS-0082020-', n7) END, CASE WHEN doc_id % 4 = 0 THEN 'Q' ELSE '' END) AS id_number,
   CASE WHEN doc_id % 9 = 0 THEN 'Other Person' ELSE nm END AS name, dob,
   CASE WHEN doc_id % 10 = 0 THEN 'Female' ELSE sex END AS gender, 'VALID' AS status
-FROM {base} WHERE doc_id % 4 <> 0
+FROM {base}
 """
 CLAIMS = """
 SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'aadhaar' WHEN 1 THEN 'passport' WHEN 2 THEN 'visa' ELSE 'driving_licence' END AS doc_type,
   CASE doc_id % 5 WHEN 0 THEN CASE WHEN doc_id % 3 = 0 THEN concat('XXXX XXXX ', substr(uid, 9, 4)) ELSE concat(substr(uid, 1, 4), ' ', substr(uid, 5, 8)) END
-       WHEN 1 THEN concat('a', n7) WHEN 2 THEN concat('V', n7) ELSE concat('TS0082020', n7) END AS id_number,
+       WHEN 1 THEN CASE WHEN doc_id % 11 <> 3 THEN concat('a', n7) END WHEN 2 THEN concat('VX', n7) ELSE concat('TS0082020', n7) END AS id_number,
   concat(' ', upper(nm)) AS name, dob, sex AS gender
 FROM {base}
 """
@@ -332,13 +333,8 @@ RELATIONS: dict[str, Relation] = {
 }
 
 
-# tables whose rows are texts, or become texts
-TEXT_TABLES = ("documents", "customer")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df) if name in TEXT_TABLES else df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

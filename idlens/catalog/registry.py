@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from idlens.catalog.inputs import FIELD_COLUMNS, relation, with_relations
 from idlens.operators.fields import map_as_fields
-from idlens.session import RUNTIME_CONF
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -25,8 +24,8 @@ REGISTRY: dict[str, Query] = {}
 
 
 def prepare(spark: SparkSession) -> None:
-    for key, value in RUNTIME_CONF.items():
-        spark.conf.set(key, value)
+    """Instants are compared as UTC; all other settings are the session's own."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
 def register(name: str, sql: str | None = None, uses: tuple[str, ...] = ()):

@@ -65,14 +65,14 @@ def _(spark, sf):
 
 
 CONSOLIDATED_SQL = f"""f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS rn FROM side_results WHERE seq % 2 = 0) AS x WHERE rn = 1),
-b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS rn FROM side_results WHERE seq % 5 = 1) AS x WHERE rn = 1),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS rn FROM side_results WHERE seq % 2 = 1) AS x WHERE rn = 1),
 con AS (SELECT coalesce(f.session_id, b.session_id) AS session_id, coalesce(f.document_type, b.document_type) AS document_type,
   concat_ws('+', CASE WHEN f.seq IS NOT NULL THEN 'front' END, CASE WHEN b.seq IS NOT NULL THEN 'back' END) AS sides, {_FILLED} FROM f FULL JOIN b ON f.session_id = b.session_id)"""
 
 
 def consolidated(spark, sf):
     rows = side_frame(spark, sf).select("session_id", "seq", "document_type", "fields")
-    return S.consolidate(rows.where("seq % 2 = 0"), rows.where("seq % 5 = 1"))
+    return S.consolidate(rows.where("seq % 2 = 0"), rows.where("seq % 2 = 1"))
 
 
 @register("jn5_consolidated_sessions", f"WITH {CONSOLIDATED_SQL} SELECT * FROM con", ("side_results",))
@@ -264,6 +264,8 @@ _GOOD_CHECKS = """list_filter(['doc_info:passed:Format, fields and issuing entit
   'face:passed:Biometric similarity score 96%', 'tamper:passed:Clean font consistency, no pixel interpolation anomalies',
   CASE WHEN doc_type = 'aadhaar' AND ekyc_verified THEN 'ekyc:passed:Name, DOB and Gender matched UIDAI record' WHEN skipped THEN 'ekyc:warning:Demographic authentication bypassed — identity unconfirmed (+20% risk factor)' END], lambda x: x IS NOT NULL)"""
 _CHECKS_SQL = f"CASE WHEN bad THEN {_BAD_CHECKS} ELSE {_GOOD_CHECKS} END"
+_NA = "Document not available — logged as N/A by officer"
+_ALL_CHECKS_SQL = f"list_concat({_CHECKS_SQL}, CASE WHEN event_id % 6 = 0 THEN ['na_bank_statement:warning:{_NA}', 'na_proof_of_address:warning:{_NA}'] ELSE [] END)"
 
 
 def check_texts(spark, sf):
@@ -272,15 +274,12 @@ def check_texts(spark, sf):
                          F.transform("checks", lambda c: c["title"]).alias("t"))
 
 
-@register("rsk2_audit_checks", f"WITH {FACTS_SQL} SELECT event_id, array_to_string({_CHECKS_SQL}, '|') AS checks FROM fs WHERE event_id % 6 <> 0")
+@register("rsk2_audit_checks", f"WITH {FACTS_SQL} SELECT event_id, array_to_string({_ALL_CHECKS_SQL}, '|') AS checks FROM fs")
 def _(spark, sf):
-    return check_texts(spark, sf).where("event_id % 6 <> 0").select("event_id", joined(F.col("c")).alias("checks"))
-
-
-_NA = "Document not available — logged as N/A by officer"
+    return check_texts(spark, sf).select("event_id", joined(F.col("c")).alias("checks"))
 
 
-@register("set2_na_notes", f"""WITH {FACTS_SQL} SELECT event_id, array_to_string(list_concat({_CHECKS_SQL}, CASE WHEN event_id % 6 = 0 THEN ['na_bank_statement:warning:{_NA}', 'na_proof_of_address:warning:{_NA}'] ELSE [] END), '|') AS checks,
+@register("set2_na_notes", f"""WITH {FACTS_SQL} SELECT event_id, array_to_string({_ALL_CHECKS_SQL}, '|') AS checks,
   CASE WHEN event_id % 6 = 0 THEN 'proof of_address not produced' END AS last_note FROM fs""")
 def _(spark, sf):
     return check_texts(spark, sf).select("event_id", joined(F.col("c")).alias("checks"),
@@ -335,8 +334,8 @@ def _(spark, sf):
 @register("str3_duplicate_submissions", "SELECT DISTINCT session_id, doc_type, side FROM captures", ("captures",))
 def _(spark, sf):
     keys = ["session_id", "doc_type", "side"]
-    # a delay longer than the data: one row per slot overall
-    stream = jobs.drop_duplicates(stream_of(spark, sf, "captures"), keys, delay="3650 days")
+    # all rows come in one micro-batch, so a slot is named once whatever the delay
+    stream = jobs.drop_duplicates(stream_of(spark, sf, "captures"), keys)
     return jobs.drained(spark, stream.select(*keys), "duplicates")
 
 

@@ -32,7 +32,7 @@ def line_texts(blocks: DataFrame, keys: list[str]) -> DataFrame:
     words = blocks.select(
         *keys, "seq",
         F.coalesce("block_num", F.lit(-1)).alias("block_num"),
-        F.coalesce("line_num", F.col("seq").cast("int")).alias("line_num"),
+        F.coalesce(F.col("line_num").cast("bigint"), F.col("seq").cast("bigint")).alias("line_num"),
         F.when(kept, F.struct("seq", strip(F.col("text")).alias("word"))).alias("entry"),
         F.when(kept, F.col("confidence")).alias("confidence"),
     )

@@ -97,29 +97,39 @@ def classify(df: DataFrame, text: str = "raw_text", payload: str | None = None,
     return df.withColumn("_class", class_struct(scores, class_rules)).select(*df.columns, "_class.*")
 
 
-# keywords tested per generated expression; a longer dictionary takes several
-_SLICE = 500
+ANCHOR = 3  # characters of a keyword that a text must hold before it is searched
+SALTS = 8  # parts that the texts of one anchor are dealt to
+
+
+def _grams(text: Column, size: int) -> Column:
+    """The different stretches of `size` characters of a text, in one pass over it."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
+
+
+def _anchored(keywords: DataFrame) -> DataFrame:
+    """Each keyword with its anchor: of its stretches the one that fewest keywords hold."""
+    words = keywords.select("doc_type", F.upper("keyword").alias("keyword"), "weight").where(F.length("keyword") > 0)
+    grams = words.select("keyword").distinct().select("keyword", F.explode(F.when(
+        F.length("keyword") < ANCHOR, F.array("keyword")).otherwise(_grams(F.col("keyword"), ANCHOR))).alias("anchor"))
+    spread = grams.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
+    rarest = grams.join(spread, "anchor").groupBy("keyword").agg(F.min(F.struct("n", "anchor"))["anchor"].alias("_anchor"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    return words.join(rarest, "keyword").select("doc_type", "keyword", "weight", "_anchor", salts.alias("_salt"))
 
 
 def keyword_hits(df: DataFrame, keywords: DataFrame, text: str = "raw_text") -> DataFrame:
-    """JN-1: texts x user dictionary by substring; one row per hit.
+    """JN-1: texts x user dictionary by substring; one row per hit, for dictionaries of any size.
 
-    The dictionary (size-checked) becomes array literals that each text filters
-    for itself: rows are never multiplied by the dictionary, only hits leave.
+    A text can only hold a keyword whose anchor it holds, so the different three-character
+    stretches of the different texts meet the anchors in an equi join (frequent anchors
+    are dealt to several tasks by text); what meets is searched in the text.
     """
-    entries = [(r.doc_type, r.keyword, r.weight) for r in rules.collect_rules(keywords)]
-    upper = df.withColumn("_upper", F.upper(F.coalesce(F.col(text), F.lit(""))))
-    slices = []
-    for start in range(0, len(entries), _SLICE):
-        literal = F.array(*[
-            F.struct(F.lit(t).alias("doc_type"), F.lit(k.upper()).alias("keyword"), F.lit(w).alias("weight"))
-            for t, k, w in entries[start:start + _SLICE]
-        ])
-        slices.append(F.filter(literal, lambda e: F.col("_upper").contains(e["keyword"])))
-    if not slices:
-        raise ValueError("the keyword dictionary is empty")
-    hits = slices[0] if len(slices) == 1 else F.concat(*slices)
-    return upper.select(*df.columns, F.inline(hits))
+    upper = df.withColumn("_upper", F.upper(F.coalesce(F.col(text), F.lit("")))).withColumn("_text", F.xxhash64("_upper"))
+    grams = F.flatten(F.array(*[_grams(F.col("_upper"), size) for size in range(1, ANCHOR + 1)]))
+    texts = upper.select("_text", "_upper").dropDuplicates(["_text"]).select("_text", F.explode(grams).alias("_anchor")).withColumn("_salt", F.pmod("_text", F.lit(SALTS)).cast("int"))
+    met = texts.join(_anchored(keywords), ["_anchor", "_salt"]).select("_text", "doc_type", "keyword", "weight")
+    return upper.join(met, "_text").where(F.col("_upper").contains(F.col("keyword"))).select(
+        *df.columns, "doc_type", "keyword", "weight")
 
 
 def keyword_scores(df: DataFrame, keywords: DataFrame, keys: list[str], text: str = "raw_text") -> DataFrame:

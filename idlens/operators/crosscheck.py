@@ -100,6 +100,10 @@ def containment_rate(
 # --- registry ------------------------------------------------------------------------
 
 
+#: A number that hides all but its last four digits, without its separators.
+MASKED = "^X{4,}[0-9]{4}$"
+
+
 def id_key(number: Column) -> Column:
     return F.upper(F.regexp_replace(number, r"[-\s]", ""))
 
@@ -112,7 +116,8 @@ def verify_registry(docs: DataFrame, registry: DataFrame, keys: list[str]) -> Da
     """JN-9. `docs`: keys, doc_type, id_number, name, dob, gender. `registry`: doc_type,
     id_number, name, dob, gender.
 
-    A full number matches one registry row. A masked number (X) only shows four
+    A full number matches one registry row. A masked number (a run of X, then four
+    digits; an X elsewhere is part of the number) only shows these four
     digits, which thousands of people share, so it is never paired with all of
     them: whether someone with those digits and that name / birth date / gender
     exists is looked up in de-duplicated key sets, one equi join each.
@@ -125,10 +130,13 @@ def verify_registry(docs: DataFrame, registry: DataFrame, keys: list[str]) -> Da
         *keys, F.col("doc_type"), id_key(F.col("id_number")).alias("id"), _norm(F.col("name")).alias("n"),
         F.col("dob").alias("b"), F.upper(F.substring(F.col("gender"), 1, 1)).alias("g"),
     )
-    masked = F.coalesce(F.col("id").contains("X"), F.lit(False))
+    masked = F.coalesce(F.col("id").rlike(MASKED), F.lit(False))
 
     one = reg.groupBy("doc_type", "id").agg(F.min(F.struct("n", "b", "g")).alias("r"))
-    full = d.where(~masked).join(one, ["doc_type", "id"], "left")
+    numbered = d.where(~masked & F.col("doc_type").isNotNull() & F.col("id").isNotNull()).join(one, ["doc_type", "id"], "left")
+    # what can't match anything stays where it is
+    bare = d.where(F.col("doc_type").isNull() | F.col("id").isNull())
+    full = numbered.unionByName(bare, allowMissingColumns=True)
     full = full.select(
         *keys, F.col("r").isNotNull().alias("id_found"),
         F.coalesce(F.col("n") == F.col("r.n"), F.lit(False)).alias("name_verified"),

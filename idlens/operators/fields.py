@@ -85,8 +85,8 @@ def map_as_fields(values: Column) -> Column:
 
 
 def with_defaults(df: DataFrame, defaults: dict) -> DataFrame:
-    """SRC-6: absent keys take their default."""
-    return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items() if c in df.columns})
+    """SRC-6: keys that are NULL, or whose column is absent, take their default."""
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) if c in df.columns else F.lit(v) for c, v in defaults.items()})
 
 
 def fields_per_document(long: DataFrame, keys: list[str]) -> DataFrame:

@@ -40,24 +40,24 @@ def infer_side(doc_type: Column, subtype: Column) -> Column:
 
 def apply_side_rules(df: DataFrame, side_rules: DataFrame, doc_type: str = "doc_type", side: str = "side") -> DataFrame:
     """JN-6: rule of (type, side); unknown types take the default type's rules and
-    sides a type does not have take the full page. Both tables are constants of a
-    dozen rows, so they are broadcast."""
+    sides a type does not have take the full page. Spark sends small rule
+    tables to the rows by itself."""
     known = side_rules.select(F.col("doc_type").alias("_rt")).distinct()
     exact = side_rules.select(
         F.col("doc_type").alias("_et"), F.col("side").alias("_es"), F.lit(True).alias("_exact"))
     dim = side_rules.select(F.col("doc_type").alias("rule_type"), F.col("side").alias("rule_side"),
                             "extract_photo", "extract_qr", "extract_mrz", "target_fields")
     kind = normal_doc_type(F.coalesce(F.col(doc_type), F.lit("")))
-    staged = df.withColumn("_kind", kind).join(F.broadcast(known), F.col("_kind") == F.col("_rt"), "left")
+    staged = df.withColumn("_kind", kind).join(known, F.col("_kind") == F.col("_rt"), "left")
     staged = staged.withColumns({
         "_kind": F.coalesce("_rt", F.lit(rules.DEFAULT_RULE_TYPE)),
         "_side": F.lower(F.coalesce(F.col(side), F.lit(""))),
     })
     staged = staged.join(
-        F.broadcast(exact), (F.col("_kind") == F.col("_et")) & (F.col("_side") == F.col("_es")), "left")
+        exact, (F.col("_kind") == F.col("_et")) & (F.col("_side") == F.col("_es")), "left")
     staged = staged.withColumn("_side", F.when(F.col("_exact"), F.col("_side")).otherwise(rules.DEFAULT_SIDE))
     joined = staged.join(
-        F.broadcast(dim), (F.col("_kind") == F.col("rule_type")) & (F.col("_side") == F.col("rule_side")), "left")
+        dim, (F.col("_kind") == F.col("rule_type")) & (F.col("_side") == F.col("rule_side")), "left")
     return joined.drop("_kind", "_side", "_rt", "_et", "_es", "_exact")
 
 
@@ -67,7 +67,7 @@ def keep_target_fields(fields_long: DataFrame, side_rules: DataFrame, doc_type:
     allowed = side_rules.select(
         F.col("doc_type").alias("_t"), F.col("side").alias("_s"), F.explode("target_fields").alias("_f"))
     return fields_long.join(
-        F.broadcast(allowed),
+        allowed,
         (normal_doc_type(F.col(doc_type)) == F.col("_t")) & (F.col(side) == F.col("_s")) & (F.col(key) == F.col("_f")),
         "left_semi",
     )
@@ -86,12 +86,12 @@ def overlap_share(box: Column, other: Column) -> Column:
 
 
 def exclude_overlaps(candidates: DataFrame, photos: DataFrame, keys: list[str], limit: float = 0.15) -> DataFrame:
-    """FLT-8: candidate boxes that do not lie on the photo of their page (one photo
-    per page; a page without photo keeps all)."""
-    photo = photos.select(*keys, F.col("bbox").alias("_photo"))
-    joined = candidates.join(photo, keys, "left")
-    clear = F.coalesce(overlap_share(F.col("bbox"), F.col("_photo")) <= limit, F.lit(True))
-    return joined.where(clear).drop("_photo")
+    """FLT-8: candidate boxes that lie on no photo of their page, of which there may be
+    several; a page without photo keeps all. Equal photos of a page count once."""
+    page = photos.groupBy(*keys).agg(F.collect_set("bbox").alias("_photos"))
+    joined = candidates.join(page, keys, "left")
+    covered = F.exists("_photos", lambda p: F.coalesce(overlap_share(F.col("bbox"), p) > limit, F.lit(False)))
+    return joined.where(~F.coalesce(covered, F.lit(False))).drop("_photos")
 
 
 def _hull(blocks: DataFrame, pages: DataFrame, keys: list[str], near: str, inside) -> DataFrame:

@@ -355,6 +355,7 @@ REQUEST_DEFAULTS = {
     "name": "Unknown",
     "average_risk_score": 15.0,
 }
+UNKNOWN_IDENTIFIER = "Unknown ID"
 HISTORY_DEFAULTS = {
     "document_type": "unknown",
     "file_name": "unknown",
@@ -406,15 +407,3 @@ KEYWORD_SCHEMA = "doc_type string, keyword string, weight int"
 def read_keyword_rules(spark: SparkSession, path: str) -> DataFrame:
     """UDF-2: user keywords from JSON lines, added to the built-in ones."""
     return keyword_frame(spark).unionByName(spark.read.schema(KEYWORD_SCHEMA).json(path))
-
-
-# A dictionary is compiled into expressions, so it must stay a dictionary.
-MAX_RULE_ROWS = 20_000
-
-
-def collect_rules(rules: DataFrame) -> list:
-    """Rule rows on the driver, after a check that they are a small table."""
-    rows = rules.limit(MAX_RULE_ROWS + 1).collect()
-    if len(rows) > MAX_RULE_ROWS:
-        raise ValueError(f"a rule table may hold at most {MAX_RULE_ROWS} rows")
-    return rows

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Runtime settings every job here relies on; all may be overridden by the cluster.
 RUNTIME_CONF = {
@@ -13,9 +15,6 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # the extraction rules are long expressions; deriving extra constraints from
-    # them costs planning time (minutes) and finds nothing to prune with
-    "spark.sql.constraintPropagation.enabled": "false",
     # streaming sessions are merged before the shuffle, so a hot session ships
     # one row per input partition instead of every capture
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
@@ -39,13 +38,16 @@ def _is_local(spark: SparkSession) -> bool:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach: `spark.checkpoint.dir` of the session.
 
-    Only a local-mode session may fall back to a temporary folder of its own.
+    Only a local-mode session may fall back to a temporary folder of its own, which
+    goes when the program ends. On a cluster what is written there stays until the
+    folder's owner clears it, so that jobs can read it again after a loss.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
         if not _is_local(spark):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         path = tempfile.mkdtemp(prefix="idlens-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(path)
     return path
@@ -54,11 +56,3 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, never reused sub-folder of the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rows of a scan that has fewer partitions than there are cores (few, small
-    files) over all cores, before costly per-row work. Bigger inputs already fill
-    the cluster and stay as they are, without a shuffle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

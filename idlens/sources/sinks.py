@@ -39,20 +39,27 @@ def history_id(session_key: Column) -> Column:
 
 
 def history_rows(items: DataFrame, session: str = "session_id") -> DataFrame:
+    """All columns of a history row; a placeholder for a missing identifier is no secret."""
     rows = with_defaults(items, rules.HISTORY_DEFAULTS).withColumn("id", history_id(F.col(session)))
-    return rows.withColumn("identifier", masked_id(F.col("identifier"))) if "identifier" in rows.columns else rows
+    number = F.col("identifier")
+    return rows.withColumn("identifier", F.when(number == rules.UNKNOWN_IDENTIFIER, number).otherwise(masked_id(number)))
 
 
-def append_history(items: DataFrame, path: str, session: str = "session_id") -> DataFrame:
-    """SNK-3: appends and hands the written rows (with their ids) back."""
-    rows = history_rows(items, session)
-    rows.write.mode("append").parquet(path)
-    return rows
+def _append(rows: DataFrame, path: str, run: str) -> DataFrame:
+    """Each run owns one folder of the table; a repeated run overwrites its own rows."""
+    part = f"{path}/run={run}"
+    rows.write.mode("overwrite").parquet(part)
+    return rows.sparkSession.read.parquet(part)
 
 
-def append_users(users: DataFrame, path: str) -> None:
-    """SNK-4."""
-    with_defaults(users, rules.REQUEST_DEFAULTS).write.mode("append").parquet(path)
+def append_history(items: DataFrame, path: str, session: str = "session_id", run: str = "0") -> DataFrame:
+    """SNK-3: appends the rows of a run and hands back what was written, with ids."""
+    return _append(history_rows(items, session), path, run)
+
+
+def append_users(users: DataFrame, path: str, run: str = "0") -> DataFrame:
+    """SNK-4: as SNK-3, for user records."""
+    return _append(with_defaults(users, rules.REQUEST_DEFAULTS), path, run)
 
 
 def capture_store(captures: DataFrame) -> DataFrame:

@@ -6,10 +6,12 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from idlens import rules
 from idlens.catalog.inputs import relation
 from idlens.operators import assemble as A
 from idlens.operators import history as H
 from idlens.operators import sessions as S
+from idlens.operators.classify import keyword_hits
 from idlens.operators.crosscheck import verify_registry
 from idlens.operators.extract import extract_fields, register_extractor, unregister_extractor
 from idlens.operators.layout import exclude_overlaps
@@ -200,6 +202,33 @@ def test_history_ids_repeat(spark):
     first = sinks.append_history(items, path).first()
     again = sinks.append_history(items, path).first()
     assert first.id == again.id and first.identifier == "XXXXXXXX3224"
+    assert first.extracted_fields == "{}" and spark.read.parquet(path).count() == 1
+    sinks.append_history(items.withColumn("identifier", F.lit("Unknown ID")), path, run="1")
+    assert {r.identifier for r in spark.read.parquet(path).collect()} == {"XXXXXXXX3224", "Unknown ID"}
+    for _ in range(2):
+        sinks.append_users(items.select(F.lit(None).cast("string").alias("name")), path + "-users")
+    assert [r.name for r in spark.read.parquet(path + "-users").collect()] == ["Unknown"]
+
+
+def test_large_dictionary(spark):
+    words = [("t", f"K{i:05}", 1) for i in range(50_000)] + [("u", "zé", 2), ("u", "Q", 3), ("u", "", 9)]
+    texts = [(1, "k00007k12345 and k0000"), (2, "ZÉ k49999"), (3, None), (4, "qq"), (4, "qq")]
+    hits = keyword_hits(spark.createDataFrame(texts, "id int, raw_text string"), spark.createDataFrame(words, rules.KEYWORD_SCHEMA))
+    assert sorted((r.id, r.keyword) for r in hits.collect()) == [(1, "K00007"), (1, "K12345"), (2, "K49999"), (2, "ZÉ"), (4, "Q"), (4, "Q")]
+
+
+def test_masked_and_bare_numbers(spark):
+    schema = "doc_id int, doc_type string, id_number string, name string, dob string, gender string"
+    registry = spark.createDataFrame([(0, "visa", "V0001234", "A", "d", "F"), (0, "aadhaar", "111122223333", "A", "d", "F")], schema)
+    claims = [(1, "visa", "VX991234", "A", "d", "F"), (2, "aadhaar", "XXXX XXXX 3333", "A", "d", "F"), (3, "visa", None, "A", "d", "F"), (4, None, "V0001234", "A", "d", "F"), (5, "visa", "v000 1234", "A", "d", "F")]
+    got = verify_registry(spark.createDataFrame(claims, schema), registry, ["doc_id"]).collect()
+    assert {r.doc_id: r.is_verified for r in got} == {1: False, 2: True, 3: False, 4: False, 5: True}
+
+
+def test_boxes_under_several_photos(spark):
+    boxes = spark.createDataFrame([(1, [0, 0, 10, 10]), (1, [50, 50, 60, 60]), (2, [0, 0, 10, 10])], "page int, bbox array<int>")
+    photos = spark.createDataFrame([(1, [0, 0, 20, 20]), (1, [100, 100, 120, 120]), (1, [0, 0, 20, 20])], "page int, bbox array<int>")
+    assert sorted(map(tuple, exclude_overlaps(boxes, photos, ["page"]).collect())) == [(1, [50, 50, 60, 60]), (2, [0, 0, 10, 10])]
 
 
 def test_stream_equals_batch(spark, sf_dir):
