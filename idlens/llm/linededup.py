@@ -12,9 +12,10 @@ member with the earliest of the other kind only, so a hot key emits no pairs, an
 it yields is verified by the edit distance of the two texts.
 
 Writing all variants of every line would multiply the corpus by its line length. A
-line therefore first looks for a partner by coarser keys: cut into quarters, two lines
-within one edit agree in all but one quarter (the shorter length gives the cuts). Only
-lines with such a partner emit variants, of that quarter's places; no pair is lost.
+line therefore first looks for a partner by coarser keys: cut into pieces, two lines
+within one edit agree in all pieces but one (the shorter length gives the cuts). Halves
+choose the lines whose texts are fetched, sixteenths the places whose variants are
+emitted; no pair is lost.
 """
 
 from __future__ import annotations
@@ -25,7 +26,9 @@ from pyspark.sql import functions as F
 from idlens.llm.common import cut
 
 MIN_CHARS = 10
-QUARTERS = 4
+COARSE, FINE = 2, 16  # pieces
+#: Rows of fixed width (some 40 bytes) up to which one side of a join goes to the other.
+AT_HAND = 250_000
 WHITE = " \t\r\x0b\x0c"
 POSITION = ("doc_id", "text_hash", "line_no")
 
@@ -38,61 +41,77 @@ def lines_of(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         *POSITION, "line", "n", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), F.col("line")).alias("k2"))
 
 
-def edge(shorter: Column, quarter: int) -> Column:
-    return F.floor(shorter * quarter / QUARTERS).cast("int")
+def near_side(df: DataFrame) -> DataFrame:
+    """A stored table, marked to be sent to the other side of a join if it is small; a
+    larger one is shuffled."""
+    return F.broadcast(df) if df.limit(AT_HAND + 1).count() <= AT_HAND else df
 
 
-def quarter_keys() -> list[Column]:
-    """Keys 0-3: the line as the shorter or equally long one of a pair, without each of its
-    quarters. Keys 4-7: the same as the longer one."""
+def edge(shorter: Column, piece: Column | int, pieces: int) -> Column:
+    return F.floor(shorter * piece / pieces).cast("int")
+
+
+def piece_keys(pieces: int) -> list[Column]:
+    """The line as the shorter or equally long one of a pair, without each of its pieces;
+    then the same as the longer one."""
     keys = []
     for shorter in (F.col("n"), F.col("n") - 1):
-        for q in range(QUARTERS):
-            tail = (shorter - edge(shorter, q + 1)).cast("int")
-            keys.append(F.xxhash64(F.lit(q), shorter, F.substring(F.col("line"), F.lit(1), edge(shorter, q)), F.when(tail > 0, F.right(F.col("line"), tail))))
+        for p in range(pieces):
+            tail = (shorter - edge(shorter, p + 1, pieces)).cast("int")
+            keys.append(F.xxhash64(F.lit(p), shorter, F.substring(F.col("line"), F.lit(1), edge(shorter, p, pieces)), F.when(
+                tail > 0, F.substring(F.col("line"), F.col("n") - tail + 1, tail))))
     return keys
 
 
 def first_lines(lines: DataFrame) -> DataFrame:
-    """k1, k2 -> first (position of the earliest occurrence) and q0 .. q7."""
-    keyed = lines.select("k1", "k2", F.struct(*POSITION).alias("_at"), *[k.alias(f"q{i}") for i, k in enumerate(quarter_keys())])
-    return keyed.groupBy("k1", "k2").agg(F.min("_at").alias("first"), *[F.min(f"q{i}").alias(f"q{i}") for i in range(2 * QUARTERS)])
+    """k1, k2 -> first (position of the earliest occurrence) and the piece keys q0, q1, ..."""
+    keyed = lines.select("k1", "k2", F.struct(*POSITION).alias("_at"), *[k.alias(f"q{i}") for i, k in enumerate(piece_keys(COARSE))])
+    return keyed.groupBy("k1", "k2").agg(F.min("_at").alias("first"), *[F.min(f"q{i}").alias(f"q{i}") for i in range(2 * COARSE)])
 
 
-def with_partners(first: DataFrame) -> DataFrame:
-    """k1, k2, first, part: the quarters in which some other line agrees outside them."""
-    keyed = first.select("k1", "k2", "first", F.posexplode(F.array(*[f"q{i}" for i in range(2 * QUARTERS)])).alias("part", "key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key")
-    return keyed.join(shared, "key").select("k1", "k2", "first", "part")
+def with_partners(keyed: DataFrame, pieces: int) -> DataFrame:
+    """k1, part, key -> the distinct (k1, part) whose key another line has, too. The two ends
+    of each shared key's members come with it; only keys of three or more are looked up again.
+    One of a pair is the shorter line and one the longer, so either end is given both parts."""
+    shared = cut(keyed.groupBy("key").agg(F.min("k1").alias("a"), F.max("k1").alias("b"), F.max("part").alias("part"), F.count("*").alias("_n")).where("a <> b"))
+    part = F.col("part") % pieces
+    ends = shared.select(F.explode(F.array("a", "b")).alias("k1"), part.alias("part")).select(
+        "k1", F.explode(F.array("part", F.col("part") + pieces)).alias("part"))
+    more = cut(shared.where("_n > 2").select("key"))
+    others = keyed.join(near_side(more), "key", "left_semi").select("k1", "part")
+    return ends.unionAll(others).distinct()
 
 
 def variants(members: DataFrame) -> DataFrame:
-    """k1, k2, first, role ('same', 'short', 'long'), key: the deletion neighbourhood."""
-    who = ["k1", "k2", "first"]
-    shorter = F.when(F.col("part") < QUARTERS, F.col("n")).otherwise(F.col("n") - 1)
-    quarter = F.col("part") % QUARTERS
-    lo, hi = (F.floor(shorter * q / QUARTERS).cast("int") for q in (quarter, quarter + 1))
-    last = F.when(F.col("part") < QUARTERS, hi - 1).otherwise(hi)
+    """k1, role ('same', 'short', 'long'), key: the deletion neighbourhood of k1, line, n
+    within its piece `part`."""
+    shorter = F.when(F.col("part") < FINE, F.col("n")).otherwise(F.col("n") - 1)
+    piece = F.col("part") % FINE
+    lo, hi = edge(shorter, piece, FINE), edge(shorter, piece + 1, FINE)
+    last = F.when(F.col("part") < FINE, hi - 1).otherwise(hi)
     placed = members.withColumn("_i", F.explode(F.when(last >= lo, F.sequence(lo, last))))
     rest = F.concat(F.substring(F.col("line"), F.lit(1), F.col("_i")), F.substring(F.col("line"), F.col("_i") + 2, F.col("n")))
-    equal = placed.where(F.col("part") < QUARTERS).select(*who, F.lit("same").alias("role"), F.xxhash64(F.col("_i"), rest).alias("key"))
-    longer = placed.where(F.col("part") >= QUARTERS).select(*who, F.lit("long").alias("role"), F.xxhash64(rest).alias("key"))
-    short = members.where(F.col("part") < QUARTERS).select(*who, F.lit("short").alias("role"), F.xxhash64("line").alias("key"))
-    return equal.unionAll(longer).unionAll(short).distinct()
-
-
-def earlier_neighbours(texts: DataFrame, emitted: DataFrame) -> DataFrame:
-    """k1, k2 of the lines with an earlier one within one edit, and near_first, its place."""
-    own = F.struct("first", "k1", "k2")
+    equal = placed.where(F.col("part") < FINE).select("k1", F.lit("same").alias("role"), F.xxhash64(F.lit("same"), F.col("_i"), rest).alias("key"))
+    longer = placed.where(F.col("part") >= FINE).select("k1", F.lit("long").alias("role"), F.xxhash64(rest).alias("key"))
+    short = members.where(F.col("part") < FINE).select("k1", F.lit("short").alias("role"), F.xxhash64("line").alias("key"))
+    return equal.unionAll(longer).unionAll(short)
+
+
+def earlier_neighbours(texts: DataFrame) -> DataFrame:
+    """k1, k2 of the lines with an earlier one within one edit, and near_first, its place.
+    `texts`: k1, k2, first, line, n of lines that may have one."""
+    fine = with_partners(texts.select("k1", F.posexplode(F.array(*piece_keys(FINE))).alias("part", "key")), FINE)
+    emitted = variants(texts.select("k1", "line", "n").join(fine, "k1"))
+    shared = cut(emitted.groupBy("key").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a <> b").select("key"))
+    met = emitted.join(near_side(shared), "key", "left_semi").distinct().join(texts, "k1")
+    own = F.struct("first", "k1", "k2", "line")
     least = lambda role: F.min(F.when(F.col("role") == role, own))
-    kind = (F.col("role") == "same").alias("level")
-    heads = emitted.groupBy("key", kind).agg(*[least(r).alias(r) for r in ("same", "short", "long")])
+    met = cut(met)
+    heads = met.groupBy("key").agg(*[least(r).alias(r) for r in ("same", "short", "long")])
     other = F.when(F.col("role") == "same", F.col("same")).when(F.col("role") == "short", F.col("long")).otherwise(F.col("short"))
-    met = emitted.withColumn("level", F.col("role") == "same").join(heads, ["key", "level"]).withColumn("_o", other).where(
-        F.col("_o.first") < F.col("first")).select("k1", "k2", F.col("_o.k1").alias("o1"), F.col("_o.k2").alias("o2"), F.col("_o.first").alias("near_first")).distinct()
-    mine, theirs = texts.select("k1", "k2", "line").distinct(), texts.select(F.col("k1").alias("o1"), F.col("k2").alias("o2"), F.col("line").alias("_other")).distinct()
-    return met.join(mine, ["k1", "k2"]).join(theirs, ["o1", "o2"]).where(
-        F.levenshtein("line", "_other", 1).between(0, 1)).groupBy("k1", "k2").agg(F.min("near_first").alias("near_first"))
+    return met.join(heads, "key").withColumn("_o", other).where(
+        (F.col("_o.first") < F.col("first")) & F.levenshtein(F.col("line"), F.col("_o.line"), 1).between(0, 1)).groupBy("k1", "k2").agg(
+        F.min("_o.first").alias("near_first"))
 
 
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -105,12 +124,11 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """
     lines = lines_of(docs, min_chars)
     first = cut(first_lines(lines))
-    members = with_partners(first)
-    at_first = members.join(
-        lines.select("k1", "k2", F.struct(*POSITION).alias("_at"), "line", "n"), ["k1", "k2"]).where(F.col("_at") == F.col("first"))
-    texts = cut(at_first.select("k1", "k2", "first", "part", "line", "n").distinct())
-    near = earlier_neighbours(texts, cut(variants(texts)))
-    verdict = first.select("k1", "k2", "first").join(near, ["k1", "k2"], "left")
+    coarse = first.select("k1", F.posexplode(F.array(*[f"q{i}" for i in range(2 * COARSE)])).alias("part", "key"))
+    members = cut(with_partners(coarse, COARSE).select("k1").distinct().join(first.select("k1", "k2", "first"), "k1"))
+    texts = cut(lines.select("k1", "k2", F.struct(*POSITION).alias("_at"), "line", "n").join(near_side(members), ["k1", "k2"]).where(
+        F.col("_at") == F.col("first")).select("k1", "k2", "first", "line", "n").distinct())
+    verdict = first.select("k1", "k2", "first").join(earlier_neighbours(texts), ["k1", "k2"], "left")
     met = lines.select(*POSITION, "k1", "k2").join(verdict, ["k1", "k2"])
     own = F.struct(*POSITION)
     kept = F.when(own != F.col("first"), F.col("first")).otherwise(F.col("near_first"))
@@ -125,11 +143,12 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     gone = dropped_lines(docs, min_chars).groupBy("doc_id", "text_hash").agg(
         F.collect_list("line_no").alias("_gone"), F.sum((F.col("kind") == "exact").cast("bigint")).alias("_exact"), F.count("*").alias("_all"))
     gone = gone.select(F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash"), "_gone", "_exact", "_all")
-    same = docs["doc_id"].eqNullSafe(F.col("_doc_id")) & (F.xxhash64(docs["text"]) == F.col("_text_hash"))
+    same = docs["doc_id"].eqNullSafe(gone["_doc_id"]) & (F.xxhash64(docs["text"]) == gone["_text_hash"])
     lines = F.split(docs["text"], "\n")
-    left = F.when(F.col("_gone").isNull(), docs["text"]).otherwise(
-        F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n"))
+    left = F.when(gone["_gone"].isNull(), docs["text"]).otherwise(
+        F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(gone["_gone"], i)), "\n"))
+    exact = F.coalesce(gone["_exact"], F.lit(0))
     return docs.join(gone, same, "left").select(
-        *[left.alias("text") if c == "text" else docs[c] for c in docs.columns],
-        F.coalesce(F.size(lines), F.lit(0)).cast("bigint").alias("n_lines"),
-        F.coalesce("_exact", F.lit(0)).alias("n_exact"), (F.coalesce("_all", F.lit(0)) - F.coalesce("_exact", F.lit(0))).alias("n_near"))
+        *[left.alias("text") if c == "text" else docs[c] for c in docs.columns if c not in ("n_lines", "n_exact", "n_near")],
+        F.coalesce(F.size(lines), F.lit(0)).cast("bigint").alias("n_lines"), exact.alias("n_exact"),
+        (F.coalesce(gone["_all"], F.lit(0)) - exact).alias("n_near"))
