@@ -307,11 +307,14 @@ def extracted(spark, sf):
     return X.extract_fields(typed, payload="payload")
 
 
+def dispatched(fields):
+    """The columns of a dispatched struct, lists as text."""
+    return [(X.field_text(fields, c) if X.FIELD_TYPES[c].startswith("array") else fields[c]).alias(c) for c in _DISPATCH]
+
+
 @register("ext7_dispatch", f"WITH {fields_sql()} SELECT * FROM fields", ("kyc",))
 def _(spark, sf):
-    return extracted(spark, sf).select("doc_id", "document_type", *[
-        (X.field_text(F.col("fields"), c) if X.FIELD_TYPES[c].startswith("array") else F.col(f"fields.{c}")).alias(c)
-        for c in _DISPATCH])
+    return extracted(spark, sf).select("doc_id", "document_type", *dispatched(F.col("fields")))
 
 
 @register("udf1_custom_extractor", f"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from idlens import rules
+from idlens.catalog.extract_queries import dispatched, fields_sql
 from idlens.catalog.inputs import FIELD_COLUMNS
 from idlens.catalog.registry import field_frame, joined, kind_sql, register, rel, strip_sql
 from idlens.catalog.text_queries import typed_sql
@@ -339,13 +340,19 @@ def _(spark, sf):
 _COMBINED = "concat_ws(chr(10), raw_text, coalesce(payload, ''), file_name)"
 
 
-@register("snk1_page_results", f"""WITH {typed_sql('kyc', _COMBINED, "coalesce(payload, '')")}
-SELECT regexp_replace(file_name, '\\.[^./]*$', '') || '_p1' AS result_key, document_type, document_name, confidence, payload IS NOT NULL AS qr_detected FROM typed t JOIN kyc k ON t.doc_id = k.doc_id""", ("kyc",))
+# the rules see the page's text, its payload and its file name as one text
+_WHOLE_SQL = f"whole AS (SELECT * REPLACE ({_COMBINED} AS raw_text) FROM kyc), " + fields_sql().replace("kyc", "whole")
+
+
+@register("snk1_page_results", f"""WITH {_WHOLE_SQL}
+SELECT regexp_replace(file_name, '\\.[^./]*$', '') || '_p1' AS result_key, f.* EXCLUDE (doc_id), t.document_name, t.confidence, payload IS NOT NULL AS qr_detected
+FROM fields f JOIN typed t ON f.doc_id = t.doc_id JOIN kyc k ON f.doc_id = k.doc_id""", ("kyc",))
 def _(spark, sf):
     path = scratch_path(spark, "results")
     sinks.write_results(result_columns(process_pages(rel(spark, sf, "kyc"))), path)
     return spark.read.parquet(path).select(
-        "result_key", "document_type", "document_name", "confidence", F.col("tampering_detection.qr_detected").alias("qr_detected"))
+        "result_key", "document_type", "document_name", "confidence", F.col("tampering_detection.qr_detected").alias("qr_detected"),
+        *dispatched(F.col("fields")))
 
 
 @register("snk3_history_append", """SELECT 'scan-' || md5(cast(doc_id AS VARCHAR)) AS id, doc_type AS document_type, coalesce(nullif(name, ''), 'Unknown Name') AS holder_name,
