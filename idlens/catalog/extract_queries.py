@@ -19,7 +19,7 @@ from idlens.catalog.registry import (
     squeeze_sql,
     strip_sql,
 )
-from idlens.catalog.text_queries import MRZ_SQL, NAME_OK_SQL, typed_sql, verhoeff_sql
+from idlens.catalog.text_queries import MRZ_SQL, NAME_OK_SQL, over_corpus, typed_sql, verhoeff_sql
 from idlens.functions import text as T
 from idlens.operators import extract as X
 from idlens.operators.classify import classify
@@ -248,9 +248,9 @@ _PASSPORT_COLUMNS = (
 )
 
 
-@register("ext2_passport", f"WITH {MRZ_SQL}, {passport_sql()} SELECT * FROM passport", ("kyc",))
+@register("ext2_passport", over_corpus(f"WITH {MRZ_SQL}, {passport_sql()} SELECT * FROM passport"), ("corpus",))
 def _(spark, sf):
-    x = X.extract_passport(rel(spark, sf, "kyc"))
+    x = X.extract_passport(rel(spark, sf, "corpus"))
     return x.select("doc_id", *[f"passport.{c}" for c in _PASSPORT_COLUMNS],
                     joined(F.col("passport.mrz_raw"), "\n").alias("mrz_raw"))
 
@@ -272,9 +272,9 @@ _VISA_COLUMNS = ("visa_number", "passport_number", "name", "surname", "given_nam
                  "date_of_expiry", "visa_type", "no_of_entries", "mrz_checksum_valid")
 
 
-@register("ext3_visa", f"WITH {MRZ_SQL}, {visa_sql()} SELECT * FROM visa", ("kyc",))
+@register("ext3_visa", over_corpus(f"WITH {MRZ_SQL}, {visa_sql()} SELECT * FROM visa"), ("corpus",))
 def _(spark, sf):
-    x = X.extract_visa(rel(spark, sf, "kyc"))
+    x = X.extract_visa(rel(spark, sf, "corpus"))
     return x.select("doc_id", *[f"visa.{c}" for c in _VISA_COLUMNS],
                     joined(F.col("visa.mrz_raw"), "\n").alias("mrz_raw"))
 
@@ -302,8 +302,8 @@ fields AS (SELECT t.doc_id, t.document_type, {cols} FROM typed t JOIN aadhaar a
   JOIN passport p ON t.doc_id = p.doc_id JOIN visa v ON t.doc_id = v.doc_id)"""
 
 
-def extracted(spark, sf):
-    typed = classify(rel(spark, sf, "kyc"), "raw_text", "payload")
+def extracted(spark, sf, source="kyc"):
+    typed = classify(rel(spark, sf, source), "raw_text", "payload")
     return X.extract_fields(typed, payload="payload")
 
 
@@ -312,9 +312,9 @@ def dispatched(fields):
     return [(X.field_text(fields, c) if X.FIELD_TYPES[c].startswith("array") else fields[c]).alias(c) for c in _DISPATCH]
 
 
-@register("ext7_dispatch", f"WITH {fields_sql()} SELECT * FROM fields", ("kyc",))
+@register("ext7_dispatch", over_corpus(f"WITH {fields_sql()} SELECT * FROM fields"), ("corpus",))
 def _(spark, sf):
-    return extracted(spark, sf).select("doc_id", "document_type", *dispatched(F.col("fields")))
+    return extracted(spark, sf, "corpus").select("doc_id", "document_type", *dispatched(F.col("fields")))
 
 
 @register("udf1_custom_extractor", f"""
@@ -360,18 +360,18 @@ light AS (SELECT doc_id, date_of_birth, gender, identifier, name,
 
 
 def light_frame(spark, sf):
-    return X.extract_light(classify(rel(spark, sf, "kyc"), "raw_text", "payload"))
+    return X.extract_light(classify(rel(spark, sf, "corpus"), "raw_text", "payload"))
 
 
-@register("ext6_light_rules", f"""WITH {light_sql()}
-SELECT doc_id, date_of_birth, gender, identifier, name FROM light""", ("kyc",))
+@register("ext6_light_rules", over_corpus(f"""WITH {light_sql()}
+SELECT doc_id, date_of_birth, gender, identifier, name FROM light"""), ("corpus",))
 def _(spark, sf):
     return light_frame(spark, sf).select(
         "doc_id", F.col("light.dateOfBirth").alias("date_of_birth"), "light.gender", "light.identifier", "light.name")
 
 
-@register("srt3_generic_lines", f"""WITH {light_sql()}
-SELECT doc_id, i AS line_no, lines[i] AS line FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM light) AS u""", ("kyc",))
+@register("srt3_generic_lines", over_corpus(f"""WITH {light_sql()}
+SELECT doc_id, i AS line_no, lines[i] AS line FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM light) AS u"""), ("corpus",))
 def _(spark, sf):
     return light_frame(spark, sf).select("doc_id", F.posexplode("light.lines").alias("p", "line")).select(
         "doc_id", (F.col("p") + 1).cast("bigint").alias("line_no"), "line")

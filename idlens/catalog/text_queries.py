@@ -328,20 +328,25 @@ _ZONE_COLUMNS = ("country", "surname", "given_name", "passport_number", "nationa
                  "number_ok", "dob_ok", "expiry_ok", "optional_ok", "composite_ok")
 
 
-@register("ext5_mrz_blocks", f"""WITH {MRZ_SQL}
-SELECT doc_id, line1, line2, zone_type, {', '.join(_ZONE_COLUMNS)}, strict AS checksum_strict FROM mrz""", ("kyc",))
+def over_corpus(sql: str) -> str:
+    """The same SQL over identity texts and prose."""
+    return sql.replace("kyc", "corpus")
+
+
+@register("ext5_mrz_blocks", over_corpus(f"""WITH {MRZ_SQL}
+SELECT doc_id, line1, line2, zone_type, {', '.join(_ZONE_COLUMNS)}, strict AS checksum_strict FROM mrz"""), ("corpus",))
 def _(spark, sf):
-    z = rel(spark, sf, "kyc").select("doc_id", mrz_of(F.col("raw_text")).alias("z")).where("z is not null")
+    z = rel(spark, sf, "corpus").select("doc_id", mrz_of(F.col("raw_text")).alias("z")).where("z is not null")
     return z.select(
         "doc_id", F.col("z.mrz_raw")[0].alias("line1"), F.col("z.mrz_raw")[1].alias("line2"),
         F.col("z.document_type").alias("zone_type"), *[f"z.{c}" for c in _ZONE_COLUMNS],
         F.col("z.mrz_checksum_valid").alias("checksum_strict"))
 
 
-@register("win3_two_longest_lines", f"""WITH {MRZ_SQL}
-SELECT doc_id, a AS longest, b AS second FROM mrz_d""", ("kyc",))
+@register("win3_two_longest_lines", over_corpus(f"""WITH {MRZ_SQL}
+SELECT doc_id, a AS longest, b AS second FROM mrz_d"""), ("corpus",))
 def _(spark, sf):
-    two = rel(spark, sf, "kyc").select("doc_id", two_longest(candidate_lines(F.col("raw_text"))).alias("t"))
+    two = rel(spark, sf, "corpus").select("doc_id", two_longest(candidate_lines(F.col("raw_text"))).alias("t"))
     return two.where(F.size("t") == 2).select("doc_id", F.col("t")[0].alias("longest"), F.col("t")[1].alias("second"))
 
 
@@ -367,8 +372,8 @@ def _(spark, sf):
     return fixed.select("doc_id", F.left("fixed", gained).alias("letter"), T.pad_mrz(F.col("fixed")).alias("line2"))
 
 
-@register("set3_mrz_candidates", f"""WITH {MRZ_SQL}
-SELECT doc_id, array_to_string(cand, '|') AS candidates FROM mrz_b WHERE len(cand) > 0""", ("kyc",))
+@register("set3_mrz_candidates", over_corpus(f"""WITH {MRZ_SQL}
+SELECT doc_id, array_to_string(cand, '|') AS candidates FROM mrz_b WHERE len(cand) > 0"""), ("corpus",))
 def _(spark, sf):
-    c = rel(spark, sf, "kyc").select("doc_id", candidate_lines(F.col("raw_text")).alias("c"))
+    c = rel(spark, sf, "corpus").select("doc_id", candidate_lines(F.col("raw_text")).alias("c"))
     return c.where(F.size("c") > 0).select("doc_id", joined(F.col("c")).alias("candidates"))
