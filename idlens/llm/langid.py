@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from idlens.llm.common import held_out
 from idlens.llm.svm import train_svm
 
-SAMPLE = 3000
+SAMPLE = 2000
 BITS = 13
 SIZE = 1 << BITS
 ORDERS = (1, 2, 3, 4)
@@ -146,6 +146,7 @@ class Model:
 
 
 def train(vectors: np.ndarray, langs: list[str]) -> Model:
+    """`vectors` may be of float16; one pair's rows at a time are widened."""
     model = Model()
     if not langs:
         return model
@@ -154,7 +155,7 @@ def train(vectors: np.ndarray, langs: list[str]) -> Model:
     model.families = sorted(model.languages)
     of = np.array(langs)
     family = np.array([FAMILY.get(x, x) for x in langs])
-    scale = 1 / np.sqrt(vectors.mean(0) + 1e-4)  # frequent n-grams vary more; even them out
+    scale = (1 / np.sqrt(vectors.mean(0, dtype=np.float64) + 1e-4)).astype(np.float32)  # frequent n-grams vary more; even them out
     pairs = [("", a, b, family) for a, b in combinations(model.families, 2)]
     pairs += [(f, a, b, of) for f, names in model.languages.items() for a, b in combinations(names, 2)]
     columns, bias = [], []
@@ -162,7 +163,11 @@ def train(vectors: np.ndarray, langs: list[str]) -> Model:
         rows = np.flatnonzero((labels == a) | (labels == b))
         y = np.where(labels[rows] == a, 1.0, -1.0)
         share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * len(y)
-        w, c = train_svm(vectors[rows] * scale, y, cost=10.0, weight=share)
+        x = np.empty((len(rows), vectors.shape[1]), np.float32)
+        for i, row in enumerate(rows):
+            np.multiply(vectors[row], scale, out=x[i])
+        w, c = train_svm(x, y, cost=10.0, weight=share)
+        del x
         columns.append(w * scale)
         bias.append(c)
     model.pairs = [p[:3] for p in pairs]
@@ -190,12 +195,8 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
                 pa.array([vector(t).astype(np.float16).tobytes() for _, t in rows], pa.binary())], names=["lang", "vector"])
 
     rows = drawn.mapInArrow(run, "lang string, vector binary").toArrow()
-    langs = rows.column("lang").to_pylist()
-    if not langs:
-        return Model()
-    vectors = np.stack([np.frombuffer(v, np.float16) for v in rows.column("vector").to_pylist()]).astype(np.float32)
-    order = sorted(range(len(langs)), key=lambda i: (langs[i], vectors[i].tobytes()))  # whatever task was first
-    return train(vectors[order], [langs[i] for i in order])
+    rows = sorted(zip(rows.column("lang").to_pylist(), rows.column("vector").to_pylist()))  # whatever task was first
+    return train(np.frombuffer(b"".join(v for _, v in rows), np.float16).reshape(-1, SIZE), [g for g, _ in rows])
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
