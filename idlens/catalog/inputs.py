@@ -337,12 +337,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def relation(spark: SparkSession, sf_dir: str, name: str, known: dict[str, DataFrame] | None = None) -> DataFrame:
     """A given table or a derived relation as a DataFrame (lazy, one plan)."""
     if name in TABLES:
         return table(spark, sf_dir, name)
+    known = {} if known is None else known  # each relation is built once a call
     rel = RELATIONS[name]
-    return spark.sql(rel.sql, **{n: relation(spark, sf_dir, n) for n in rel.needs})
+    for n in rel.needs:
+        if n not in known:
+            known[n] = relation(spark, sf_dir, n, known)
+    return spark.sql(rel.sql, **{n: known[n] for n in rel.needs})
 
 
 def with_relations(*names: str) -> str:

@@ -7,48 +7,38 @@ from pyspark.sql import functions as F
 
 from idlens import rules
 from idlens.functions.numbers import class_confidence
-from idlens.functions.text import alternation, let
+from idlens.functions.text import alternation
 
 SCORE_PREFIX = "score_"
 
 
-def _occurs(text: Column, literal: str, word_boundary: bool) -> Column:
+def _literal(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _occurs(text: str, literal: str, word_boundary: bool) -> str:
     if word_boundary:
-        return text.rlike(r"(?<![A-Z0-9])(?:" + alternation([literal]) + r")(?![A-Z0-9])")
-    return text.contains(literal)
+        return f"{text} RLIKE {_literal(r'(?<![A-Z0-9])(?:' + alternation([literal]) + r')(?![A-Z0-9])')}"
+    return f"contains({text}, {_literal(literal)})"
 
 
-def _may_match(text: Column, pattern: str) -> Column:
-    """A cheap necessary condition, so that ordinary prose never meets the costly
-    pattern: a run of digits, or a literal, that every match holds."""
+def _matches(text: str, pattern: str) -> str:
+    """A pattern behind a cheap necessary condition, so that ordinary prose never meets the
+    costly one: a run of digits, or a literal, that every match holds."""
+    search = f"{text} RLIKE {_literal(pattern)}"
     if "P<" in pattern:
-        return text.contains("P<")
-    return text.rlike("[0-9]{4}") if "[0-9]" in pattern else F.lit(True)
+        return f"(contains({text}, 'P<') AND {search})"
+    return f"({text} RLIKE '[0-9]{{4}}' AND {search})" if "[0-9]" in pattern else f"({search})"
 
 
-def class_score(text: Column, rule: rules.ClassRule, word_boundary: bool = False) -> Column:
-    """Points of one class; each keyword or bonus counts once."""
-    score = F.lit(0)
-    for keyword in rule.keywords:
-        score = score + F.when(_occurs(text, keyword, word_boundary), rule.keyword_points).otherwise(0)
+def class_score(text: str, rule: rules.ClassRule, word_boundary: bool = False) -> Column:
+    """Points of one class on the column named `text`; each keyword or bonus counts once.
+    One expression text a class: building it call by call costs more than running it."""
+    terms = [f"IF({_occurs(text, keyword, word_boundary)}, {rule.keyword_points}, 0)" for keyword in rule.keywords]
     for bonus in rule.bonuses:
-        hit = F.lit(False)
-        for literal in bonus.literals:
-            hit = hit | _occurs(text, literal, word_boundary)
-        for pattern in bonus.patterns:
-            hit = hit | (_may_match(text, pattern) & text.rlike(pattern))
-        score = score + F.when(hit, bonus.points).otherwise(0)
-    return score
-
-
-def score_struct(text: Column, payload: Column | None = None, class_rules=rules.CLASS_RULES,
-                 word_boundary: bool = False) -> Column:
-    """AGG-5: points of every class. The upper-cased text is bound once, so a
-    filter pushed below this projection cannot multiply it."""
-    blank = F.lit("")
-    joined = F.concat_ws(" ", F.coalesce(text, blank), blank if payload is None else F.coalesce(payload, blank))
-    return let(F.upper(joined), lambda t: F.struct(*[
-        class_score(t, r, word_boundary).alias(SCORE_PREFIX + r.doc_type) for r in class_rules]))
+        hits = [_occurs(text, literal, word_boundary) for literal in bonus.literals] + [_matches(text, p) for p in bonus.patterns]
+        terms.append(f"IF({' OR '.join(hits)}, {bonus.points}, 0)")
+    return F.expr(" + ".join(terms) or "0")
 
 
 def class_scores(
@@ -58,43 +48,32 @@ def class_scores(
     class_rules=rules.CLASS_RULES,
     word_boundary: bool = False,
 ) -> DataFrame:
-    """AGG-5: one score column per class; no join, no shuffle."""
-    scores = score_struct(F.col(text), F.col(payload) if payload else None, class_rules, word_boundary)
-    return df.withColumn("_scores", scores).select(*df.columns, "_scores.*")
-
-
-def class_struct(scores: Column, class_rules=rules.CLASS_RULES) -> Column:
-    """WIN-1 / MTH-3: the class with most points, the earlier one on ties, none for 0."""
-    def decide(s: Column) -> Column:
-        best = F.greatest(*[s[SCORE_PREFIX + r.doc_type] for r in class_rules])
-
-        def named(b: Column) -> Column:
-            kind, title = F.when(b == 0, "unknown"), F.when(b == 0, rules.UNKNOWN_TITLE)
-            for r in class_rules:
-                wins = s[SCORE_PREFIX + r.doc_type] == b
-                kind, title = kind.when(wins, r.doc_type), title.when(wins, r.title)
-            pairs = [x for r in class_rules for x in (F.lit(r.doc_type), s[SCORE_PREFIX + r.doc_type])]
-            return F.struct(
-                kind.alias("document_type"), title.alias("document_name"), class_confidence(b).alias("confidence"),
-                F.create_map(*pairs).alias("all_scores"))
-
-        return let(best, named)
-
-    return let(scores, decide)
+    """AGG-5: one score column per class; no join, no shuffle. The upper-cased text is a
+    column of its own, worked out once."""
+    blank = F.lit("")
+    joined = F.concat_ws(" ", F.coalesce(F.col(text), blank), F.coalesce(F.col(payload), blank) if payload else blank)
+    return df.withColumn("_upper", F.upper(joined)).select(
+        *df.columns, *[class_score("_upper", r, word_boundary).alias(SCORE_PREFIX + r.doc_type) for r in class_rules])
 
 
 def best_class(scored: DataFrame, class_rules=rules.CLASS_RULES) -> DataFrame:
-    """WIN-1 on the columns of `class_scores`."""
-    scores = F.struct(*[SCORE_PREFIX + r.doc_type for r in class_rules])
-    return scored.withColumn("_class", class_struct(scores, class_rules)).select(
-        *scored.columns, "_class.document_type", "_class.document_name", "_class.confidence")
+    """WIN-1 / MTH-3 on the columns of `class_scores`: the class with most points, the
+    earlier one on ties, none for 0."""
+    best = F.greatest(*[SCORE_PREFIX + r.doc_type for r in class_rules])
+    kind, title = F.when(F.col("_best") == 0, "unknown"), F.when(F.col("_best") == 0, rules.UNKNOWN_TITLE)
+    for r in class_rules:
+        wins = F.col(SCORE_PREFIX + r.doc_type) == F.col("_best")
+        kind, title = kind.when(wins, r.doc_type), title.when(wins, r.title)
+    return scored.withColumn("_best", best).select(
+        *scored.columns, kind.alias("document_type"), title.alias("document_name"), class_confidence(F.col("_best")).alias("confidence"))
 
 
 def classify(df: DataFrame, text: str = "raw_text", payload: str | None = None,
              class_rules=rules.CLASS_RULES, word_boundary: bool = False) -> DataFrame:
     """Adds document_type, document_name, confidence and the all_scores map."""
-    scores = score_struct(F.col(text), F.col(payload) if payload else None, class_rules, word_boundary)
-    return df.withColumn("_class", class_struct(scores, class_rules)).select(*df.columns, "_class.*")
+    pairs = [x for r in class_rules for x in (F.lit(r.doc_type), F.col(SCORE_PREFIX + r.doc_type))]
+    typed = best_class(class_scores(df, text, payload, class_rules, word_boundary), class_rules)
+    return typed.select(*df.columns, "document_type", "document_name", "confidence", F.create_map(*pairs).alias("all_scores"))
 
 
 ANCHOR = 3  # characters of a keyword that a text must hold before it is searched
