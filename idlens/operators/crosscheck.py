@@ -120,7 +120,7 @@ def verify_registry(docs: DataFrame, registry: DataFrame, keys: list[str]) -> Da
     digits; an X elsewhere is part of the number) only shows these four
     digits, which thousands of people share, so it is never paired with all of
     them: whether someone with those digits and that name / birth date / gender
-    exists is looked up in de-duplicated key sets, one equi join each.
+    exists is looked up in a de-duplicated set of keys, by one equi join for all facts.
     """
     reg = registry.select(
         "doc_type", id_key(F.col("id_number")).alias("id"), _norm(F.col("name")).alias("n"),
@@ -145,19 +145,28 @@ def verify_registry(docs: DataFrame, registry: DataFrame, keys: list[str]) -> Da
     ).withColumn("is_verified", F.col("id_found") & F.col("name_verified") & F.col("dob_verified")
                  & F.col("gender_verified"))
 
-    tail = reg.withColumn("t", F.right(F.col("id"), F.lit(4)))
-    part = d.where(masked).withColumn("t", F.right(F.col("id"), F.lit(4)))
+    # every fact that a masked claim asks for is a (kind, key); one join answers all of them
+    kinds = {"id_found": [], "name_verified": ["n"], "dob_verified": ["b"], "gender_verified": ["g"], "is_verified": ["n", "b", "g"]}
 
-    def flag(left: DataFrame, cols: list[str], name: str) -> DataFrame:
-        on = ["doc_type", "t", *cols]
-        return left.join(tail.select(*on).distinct().withColumn(name, F.lit(True)), on, "left").withColumn(
-            name, F.coalesce(F.col(name), F.lit(False)))
+    def facts(df: DataFrame) -> Column:
+        keys = [F.struct(F.lit(kind).alias("kind"), F.when(
+            F.expr(" AND ".join(f"{c} IS NOT NULL" for c in ["doc_type", "t", *cols])),
+            F.concat_ws(chr(31), "doc_type", "t", *cols)).alias("key")) for kind, cols in kinds.items()]
+        return F.explode(F.filter(F.array(*keys), lambda x: x["key"].isNotNull())).alias("fact")
 
-    part = flag(part, [], "id_found")
-    part = flag(part, ["n"], "name_verified")
-    part = flag(part, ["b"], "dob_verified")
-    part = flag(part, ["g"], "gender_verified")
-    part = flag(part, ["n", "b", "g"], "is_verified")
+    claim = ["doc_type", "t", "n", "b", "g"]
+    shown = reg.withColumn("t", F.right(F.col("id"), F.lit(4)))
+    there = shown.select(facts(shown)).select("fact.*").distinct()
+    part = d.where(masked).withColumn("t", F.right(F.col("id"), F.lit(4)))
+    asked = part.select(*claim).distinct()
+    met = asked.select(*claim, facts(asked)).select(*claim, "fact.*").join(there, ["kind", "key"])
+    answers = met.groupBy(*claim).agg(*[F.max(F.col("kind") == kind).alias(kind) for kind in kinds]).withColumnsRenamed(
+        {c: f"_{c}" for c in claim})
+    same = None
+    for c in claim:
+        equal = part[c].eqNullSafe(answers[f"_{c}"])
+        same = equal if same is None else same & equal
+    part = part.join(answers, same, "left").withColumns({kind: F.coalesce(F.col(kind), F.lit(False)) for kind in kinds})
     return full.unionByName(part.select(*full.columns))
 
 

@@ -48,7 +48,8 @@ def _either(cond: Column, yes: str, no: str) -> Column:
 
 def audit_checks(bad: Column, skipped: Column, aadhaar: Column, travel: Column, face: Column, mrz: Column,
                  ekyc: Column, first_anomaly: Column) -> Column:
-    """RSK-2: the check list of each branch, eKYC note included."""
+    """RSK-2: the check list of each branch, eKYC note included. Ids, titles and details
+    are fixed values: results carry them as they stand."""
     skipped_title = "Aadhaar eKYC skipped"
     bad_checks = F.array(
         _check("ocr", "OCR extracted", "passed", "All primary fields extracted successfully"),
