@@ -2,7 +2,7 @@
 
 A text is compressed whole and in fixed chunks with zstandard. Repetitive text shrinks
 too well, noise and encoded data too little; what is usual depends on the length, so
-each band holds for texts up to a length in UTF-8 bytes. Chunks catch a repetitive or
+each band holds for texts up to a length in UTF-8 bytes, and on the script. Chunks catch a repetitive or
 incompressible stretch inside a text that looks usual as a whole.
 """
 
@@ -17,15 +17,25 @@ from pyspark.sql import DataFrame
 
 LEVEL = 3
 CHUNK = 4096
-#: (texts up to this many bytes, lowest and highest ratio of size to compressed size):
-#: a little beyond what texts labelled good reach at these lengths.
+#: (texts up to this many bytes, lowest and highest ratio of size to compressed size), for texts
+#: of mostly one-byte letters: below lie encoded data and noise, above text that says the same
+#: again and again. Real manuals, licences and package texts lie inside but for tables and listings.
 BANDS = (
-    (128, 0.2, 1.6), (192, 0.95, 2.1), (256, 1.05, 2.1), (384, 1.2, 2.0), (512, 1.25, 2.0), (640, 1.35, 1.97),
-    (768, 1.4, 1.98), (896, 1.4, 2.05), (1024, 1.45, 2.08), (1280, 1.55, 2.09), (1536, 1.6, 2.13), (2048, 1.65, 2.19),
-    (3072, 1.75, 2.22), (4096, 1.8, 2.27), (6144, 1.85, 2.34), (8192, 1.9, 2.4), (16384, 1.95, 2.47),
-    (32768, 2.0, 2.58), (131072, 2.0, 2.8), (1 << 62, 2.0, 3.2),
+    (128, 0.2, 2.0), (192, 0.9, 2.1), (256, 1.05, 2.2), (384, 1.15, 2.4), (512, 1.2, 2.5), (768, 1.25, 2.7),
+    (1024, 1.35, 2.9), (1536, 1.45, 3.1), (2048, 1.5, 3.3), (3072, 1.65, 3.5), (4096, 1.75, 3.8), (6144, 1.85, 4.1),
+    (8192, 1.9, 4.3), (16384, 1.95, 4.8), (32768, 2.0, 5.3), (131072, 2.0, 6.0), (1 << 62, 2.0, 7.0),
 )
-CHUNK_BAND = (1.8, 2.32)
+CHUNK_BAND = (1.7, 3.8)
+#: The same for scripts of two to four bytes a letter: alphabets shrink more, as the letters
+#: share their first bytes, Chinese characters less.
+WIDE_BANDS = (
+    (128, 0.2, 3.0), (192, 0.8, 3.15), (256, 0.9, 3.3), (384, 1.0, 3.6), (512, 1.0, 3.75), (768, 1.15, 4.05),
+    (1024, 1.15, 4.35), (1536, 1.25, 4.65), (2048, 1.25, 4.95), (3072, 1.3, 5.25), (4096, 1.3, 5.7), (6144, 1.3, 6.15),
+    (8192, 1.3, 6.45), (16384, 1.3, 7.2), (32768, 1.3, 7.95), (131072, 1.3, 9.0), (1 << 62, 1.3, 10.5),
+)
+WIDE_CHUNK_BAND = (1.3, 5.7)
+#: From this share of bytes in letters of several bytes on, a text or chunk is of such a script.
+WIDE = 0.25
 #: A text goes when more than this share of its chunks lies outside CHUNK_BAND.
 BAD_CHUNKS = 0.5
 MIN_WORDS = 50
@@ -58,11 +68,19 @@ def duplicate_lines(raw: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
+def wide(raw: bytes) -> bool:
+    """Whether the letters are mostly of several bytes."""
+    return bool((np.frombuffer(raw, np.uint8) >= 0x80).sum() >= WIDE * len(raw))
+
+
 class Rules:
     """The counts and the verdict for one text; holds the compressor of a task."""
 
-    def __init__(self, bands=BANDS, chunk: int = CHUNK, chunk_band=CHUNK_BAND, bad_chunks: float = BAD_CHUNKS):
-        self.bands, self.chunk, self.chunk_band, self.bad_chunks = bands, chunk, chunk_band, bad_chunks
+    def __init__(self, bands=BANDS, chunk: int = CHUNK, chunk_band=CHUNK_BAND, bad_chunks: float = BAD_CHUNKS,
+                 wide_bands=WIDE_BANDS, wide_chunk_band=WIDE_CHUNK_BAND):
+        # by script: one-byte letters, letters of several bytes
+        self.bands, self.chunk_bands = (bands, wide_bands), (chunk_band, wide_chunk_band)
+        self.chunk, self.bad_chunks = chunk, bad_chunks
         self.pack = zstandard.ZstdCompressor(level=LEVEL)
 
     def ratio(self, raw: bytes) -> float:
@@ -73,10 +91,13 @@ class Rules:
         if not raw:
             return 0.0, 0, 0, "empty"
         whole = self.ratio(raw)
-        low, high = next((lo, hi) for upto, lo, hi in self.bands if len(raw) <= upto)
+        low, high = next((lo, hi) for upto, lo, hi in self.bands[wide(raw)] if len(raw) <= upto)
         # a last, short chunk says little and is left out of the chunk rule
-        parts = [self.ratio(raw[i:i + self.chunk]) for i in range(0, len(raw) - self.chunk + 1, self.chunk)]
-        bad = sum(not self.chunk_band[0] <= r <= self.chunk_band[1] for r in parts)
+        parts = [raw[i:i + self.chunk] for i in range(0, len(raw) - self.chunk + 1, self.chunk)]
+        bad = 0
+        for part in parts:
+            least, most = self.chunk_bands[wide(part)]
+            bad += not least <= self.ratio(part) <= most
         why = "incompressible" if whole < low else "repetitive" if whole > high else "chunks" if bad > self.bad_chunks * len(parts) else ""
         return whole, len(parts), bad, why
 
@@ -95,7 +116,8 @@ class Rules:
         return n, chars, symbols, duplicate_lines(raw), again, failed, whole, parts, bad, not reason, reason
 
 
-def quality(docs: DataFrame, bands=BANDS, chunk: int = CHUNK, chunk_band=CHUNK_BAND, bad_chunks: float = BAD_CHUNKS) -> DataFrame:
+def quality(docs: DataFrame, bands=BANDS, chunk: int = CHUNK, chunk_band=CHUNK_BAND, bad_chunks: float = BAD_CHUNKS,
+            wide_bands=WIDE_BANDS, wide_chunk_band=WIDE_CHUNK_BAND) -> DataFrame:
     """doc_id and RESULT for every document: the counts, the ratios and kept.
 
     Null counts as empty and is not kept; repeated rows give rows each; other columns
@@ -104,7 +126,7 @@ def quality(docs: DataFrame, bands=BANDS, chunk: int = CHUNK, chunk_band=CHUNK_B
     schema = pa.schema([("doc_id", pa.int64()), *[(c.split()[0], {"bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}[c.split()[1]]) for c in RESULT.split(", ")]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rules = Rules(bands, chunk, chunk_band, bad_chunks)
+        rules = Rules(bands, chunk, chunk_band, bad_chunks, wide_bands, wide_chunk_band)
         for batch in batches:
             found = list(zip(*map(rules.judge, batch.column("text").to_pylist()))) or [()] * (len(schema) - 1)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *[pa.array(x, f.type) for x, f in zip(found, list(schema)[1:])]], schema=schema)

@@ -1,9 +1,12 @@
 """Classifiers, chat, tokens, quality and near-duplicates against brute force."""
 
+import base64
 import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
+from pydoc_data.topics import topics
 
 import numpy as np
 import pytest
@@ -17,6 +20,14 @@ from idlens.llm.queries import tokenizer_path
 from idlens.llm.wavelet import WaveletMatrix, build
 from tests.llm.conftest import awkward_rows
 
+RUSSIAN = (
+    "Все люди рождаются свободными и равными в своём достоинстве и правах.",
+    "Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства.",
+    "Каждый человек имеет право на жизнь, на свободу и на личную неприкосновенность.",
+    "Никто не должен содержаться в рабстве или в подневольном состоянии; рабство и работорговля запрещаются во всех их видах.",
+    "Никто не должен подвергаться пыткам или жестоким, бесчеловечным или унижающим его достоинство обращению и наказанию.",
+    "Каждый человек, где бы он ни находился, имеет право на признание его правосубъектности.",
+)
 PLAIN = re.compile("[^\x20\x09-\x0d]+")
 
 
@@ -236,6 +247,20 @@ def test_quality(awkward, nothing, documents):
     assert rules.judge(" ".join(noise[i:i + 9] for i in range(0, 6000, 9)))[-1] == "incompressible"
 
 
+def test_quality_keeps_real_prose():
+    """Licences, the language's own manual and a text in letters of two bytes stay; one sentence again and again, and noise, go."""
+    rules = quality.Rules()
+    prose = {f.name: f.read_text("utf-8") for f in Path("/usr/share/common-licenses").glob("*")}
+    prose |= {k: t for k, t in topics.items() if len(t) > 3000 and "+----" not in t}  # no tables
+    prose["wide"] = "\n".join(RUSSIAN)
+    assert {k: why for k, t in prose.items() if (why := rules.bands_of(t.encode())[-1])} == {}
+    for line in ("All rights to this are ours, and no one may copy item {} of it. ", RUSSIAN[0] + " {}. "):
+        assert rules.bands_of("".join(line.format(i) for i in range(200)).encode())[-1] == "repetitive"
+    noise = base64.b64encode(np.random.default_rng(3).bytes(9000)).decode()
+    for n in (300, 900, 3000, 12_000):
+        assert rules.bands_of(" ".join(noise[i:i + 9] for i in range(0, n, 9)).encode())[-1] == "incompressible"
+
+
 def test_pipeline(spark, documents):
     sf_dir = "/root/testdata/sf0.01"
     docs, before = documents, None
