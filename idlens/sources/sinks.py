@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,19 +47,32 @@ def history_rows(items: DataFrame, session: str = "session_id") -> DataFrame:
     return rows.withColumn("identifier", F.when(number == rules.UNKNOWN_IDENTIFIER, number).otherwise(masked_id(number)))
 
 
-def _append(rows: DataFrame, path: str, run: str) -> DataFrame:
-    """Each run owns one folder of the table; a repeated run overwrites its own rows."""
-    part = f"{path}/run={run}"
+def batch_run(rows: DataFrame) -> str:
+    """A run's name from its rows in any order: only the same rows again have the same name."""
+    stamps = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+    text = F.to_json(F.struct("*"), {"ignoreNullFields": "false", "timestampFormat": stamps + "XXX", "timestampNTZFormat": stamps})
+    sums = [F.sum(F.xxhash64(F.lit(i), text).cast("decimal(38,0)")) for i in range(2)]
+    found = rows.agg(F.count(F.lit(1)), *sums).first()
+    return "rows-" + hashlib.md5(f"{rows.schema.json()}{tuple(found)}".encode()).hexdigest()
+
+
+def _append(rows: DataFrame, path: str, run: str | None) -> DataFrame:
+    """Each run owns one folder of the table; a repeated run overwrites its own rows.
+
+    Without a run the rows name it, so different batches add up. Rows that hold the time of
+    the job or a random value are other rows each time: there a run has to be given.
+    """
+    part = f"{path}/run={batch_run(rows) if run is None else run}"
     rows.write.mode("overwrite").parquet(part)
     return rows.sparkSession.read.parquet(part)
 
 
-def append_history(items: DataFrame, path: str, session: str = "session_id", run: str = "0") -> DataFrame:
+def append_history(items: DataFrame, path: str, session: str = "session_id", run: str | None = None) -> DataFrame:
     """SNK-3: appends the rows of a run and hands back what was written, with ids."""
     return _append(history_rows(items, session), path, run)
 
 
-def append_users(users: DataFrame, path: str, run: str = "0") -> DataFrame:
+def append_users(users: DataFrame, path: str, run: str | None = None) -> DataFrame:
     """SNK-4: as SNK-3, for user records."""
     return _append(with_defaults(users, rules.REQUEST_DEFAULTS), path, run)
 

@@ -210,6 +210,19 @@ def test_history_ids_repeat(spark):
     assert [r.name for r in spark.read.parquet(path + "-users").collect()] == ["Unknown"]
 
 
+def test_unnamed_batches_add_up(spark):
+    path = scratch_path(spark, "batches-test")
+    rows = [("1", "a", None, "2024-01-01 00:00:00.000001"), ("2", None, "a", "2024-01-01 00:00:00.000001"), ("2", "a", None, "2024-01-01 00:00:00.000001"),
+            ("2", "a", None, "2024-01-01 00:00:00.000002")]
+    frames = [spark.createDataFrame([r], "session_id string, document_type string, file_name string, at string").withColumn("at", F.to_timestamp("at")) for r in rows]
+    both = frames[0].unionByName(frames[1])
+    for batch in (*frames, frames[0], both, frames[1].unionByName(frames[0]).repartition(3)):
+        sinks.append_history(batch, f"{path}-history")
+        sinks.append_users(batch.withColumnRenamed("document_type", "name"), f"{path}-users")
+    # the four rows apart, and the two as a batch of their own
+    assert spark.read.parquet(f"{path}-history").count() == spark.read.parquet(f"{path}-users").count() == 6
+
+
 def test_large_dictionary(spark):
     words = [("t", f"K{i:05}", 1) for i in range(50_000)] + [("u", "zé", 2), ("u", "Q", 3), ("u", "", 9)]
     texts = [(1, "k00007k12345 and k0000"), (2, "ZÉ k49999"), (3, None), (4, "qq"), (4, "qq")]
