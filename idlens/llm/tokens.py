@@ -59,12 +59,18 @@ class Encoder:
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.kind)
 
-    def _pieces(self, text: str) -> list[str]:
+    def _pieces(self, text: str) -> list[str] | None:
+        """None for a text that holds a special string before or after normalising: the tokenizer
+        knows the former only, pieces the latter."""
         # the normaliser composes, makes white space blanks and lower-cases; Python does the
         # same but for final sigma and the separators 1C to 1F
         if (text.isascii() or unicodedata.is_normalized("NFC", text)) and not ODD.search(text):
-            return text.lower().split()
-        return self.normal.normalize_str(text).split(" ")
+            normal = text.lower()
+            pieces = normal.split()
+        else:
+            normal = self.normal.normalize_str(text)
+            pieces = normal.split(" ")
+        return None if any(s in text or s in normal for s in self.special) else pieces
 
     def _encode_pieces(self, pieces: list[str]) -> None:
         for lo in range(0, len(pieces), 10_000):
@@ -92,9 +98,9 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        easy = [self.by_words and not any(s in t for s in self.special) for t in texts]
-        found = iter(self._pieces_ids([self._pieces(t) for t, e in zip(texts, easy) if e]))
-        return [np.frombuffer(next(found), self.kind) if e else self._ids(t) for t, e in zip(texts, easy)]
+        pieces = [self._pieces(t) if self.by_words else None for t in texts]
+        found = iter(self._pieces_ids([p for p in pieces if p is not None]))
+        return [self._ids(t) if p is None else np.frombuffer(next(found), self.kind) for t, p in zip(texts, pieces)]
 
 
 def encoder(path: str) -> Encoder:

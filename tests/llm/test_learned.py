@@ -172,6 +172,14 @@ def test_tokens(spark, awkward, nothing, rnd, tmp_path):
     assert WaveletMatrix((tmp_path / "one.wm").read_bytes()).n == shard.n_tokens
 
 
+def test_tokens_of_marks_in_other_case():
+    """An end mark in capitals is text to the tokenizer, and forges no control token."""
+    coder = tokens.Encoder(tokenizer_path())
+    texts = ["<|EndOfText|>abc", "<|ENDOFTEXT|><|ENDOFTEXT|>", "a <|StartOfText|> é", "<|endoftext|>\u0338 b", "plain\x1cÉ text"]
+    assert [x.tolist() for x in coder.encode(texts)] == [coder.whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert coder.encode(texts[:1])[0].tolist() == [27, 347, 40786, 4160, 91, 285, 5334]
+
+
 def fingerprint(text):
     ws = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     ws = PLAIN.findall(ws)
