@@ -42,7 +42,7 @@ def shingle_hash(ws: Column, at: Column, size: int) -> Column:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (bigint) of every document; null and empty texts have fingerprint 0.
+    """doc_id, text_hash, fp (bigint) of every document; null and empty texts have fingerprint 0.
 
     The counts of two bits share a bigint, so 32 sums hold all 64. They are added up
     next to the words; one row a document is shuffled. Repeated rows give rows each.
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         low, high = F.col(f"_s{i}").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(f"_s{i}", 32)
         for at, count in ((i, low), (i + 32, high)):
             bits = bits.bitwiseOR(F.when(2 * count > F.col("_n"), F.lit(1 << at if at < 63 else -(1 << 63))).otherwise(0))
-    return counted.select("doc_id", bits.alias("fp"), F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies"))).alias("_copy")).drop("_copy")
+    return counted.select("doc_id", F.col("_hash").alias("text_hash"), bits.alias("fp"), F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies"))).alias("_copy")).drop("_copy")
 
 
 def posting_lists(distinct: DataFrame) -> DataFrame:
@@ -174,13 +174,8 @@ def components(links: DataFrame) -> DataFrame:
         before = state
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, parts: int | None = None) -> DataFrame:
-    """doc_id, fp, component_id: the smallest doc_id that links reach, itself included.
-
-    Copies are told apart by nothing but their doc_id: null ids form no smallest one
-    unless a component has no other. Empty tables give empty tables; further columns
-    are not read.
-    """
+def classes(docs: DataFrame, shingle: int = SHINGLE, parts: int | None = None) -> DataFrame:
+    """doc_id, text_hash, fp, root, component_id; root names the component."""
     spark = docs.sparkSession
     marked = cut(fingerprints(docs, shingle))
     distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
@@ -190,13 +185,25 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, parts: int | None =
     roots = components(links)
     named = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = named.join(ids, "root").select("fp", "component_id")
-    return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return marked.join(named.join(ids, "root").select("fp", "root", "component_id"), "fp")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, parts: int | None = None) -> DataFrame:
+    """doc_id, fp, component_id: the smallest doc_id that links reach, itself included.
+
+    Copies are told apart by nothing but their doc_id: null ids form no smallest one
+    unless a component has no other. Empty tables give empty tables; further columns
+    are not read.
+    """
+    return classes(docs, shingle, parts).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """Of each component its smallest document, with all columns; of rows that share its id
-    one row. A row without an id can't be named as the one to stay and is not dropped."""
-    kept = near_duplicates(docs.where(F.col("doc_id").isNotNull()), shingle).where(
-        F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))
+    """Of each component its smallest document by doc_id, then by hash of the text, with all
+    columns, whatever other components hold of that id; of equal rows one. A row without an id
+    can't be named as the one to stay and is not dropped."""
+    least = classes(docs.where(F.col("doc_id").isNotNull()), shingle).groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("_least"))
+    kept = least.select("_least.doc_id", F.col("_least.text_hash").alias("_hash"))
+    hashed = docs.withColumn("_hash", F.xxhash64("text"))
+    return hashed.join(kept, ["doc_id", "_hash"], "left_semi").dropDuplicates(["doc_id", "_hash"]).drop("_hash").select(docs.columns).unionByName(
+        docs.where(F.col("doc_id").isNull()))

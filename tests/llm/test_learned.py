@@ -216,6 +216,15 @@ def test_simhash(spark, awkward, nothing, rnd):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(least.values())
 
 
+def test_keep_one_of_rows_that_share_an_id(spark, rnd):
+    """Unrelated texts of one id all stay; a near copy goes although its id stays elsewhere."""
+    a, b, c = (" ".join(f"{x}{rnd.randrange(90)}" for _ in range(300)) for x in "abc")
+    rows = [(5, a), (5, b), (5, b), (3, c), (5, c), (9, a)]
+    for order in (rows, rows[::-1]):
+        kept = simhash.keep_one(spark.createDataFrame(order, "doc_id bigint, text string").repartition(3))
+        assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(5, a), (5, b), (3, c)])
+
+
 def test_long_posting_lists_are_split(rnd, monkeypatch):
     """A long list gives the same groups by bit fields as all at once."""
     fps = np.array(sorted({rnd.randrange(1 << 8) << 20 | 1 << 40 | rnd.randrange(1 << 10) for _ in range(300)}), np.uint64)
