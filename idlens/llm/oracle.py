@@ -93,4 +93,36 @@ SELECT d.doc_id, count(m.line_no) AS n_lines, coalesce(sum(m.exact::INT), 0)::BI
 FROM documents d LEFT JOIN marked m USING (doc_id) GROUP BY d.doc_id
 """
 
-ORACLES = {"op2_chat_format": OP2, "op3_mix_sources": OP3, "op5_decontaminate": OP5, "op6_line_dedup": OP6}
+# every candidate against every query
+OP12 = r"""
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda v: floor(256 * v::DOUBLE)::BIGINT) AS x, len(embedding) AS size FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda v: v IS NULL OR isnan(v) OR isinf(v))) = 0),
+rows AS (SELECT * FROM whole WHERE size = (SELECT size FROM whole GROUP BY size ORDER BY count(*) DESC, size DESC LIMIT 1)),
+cells AS (SELECT vec_id, unnest(x) AS v, generate_subscripts(x, 1) AS j FROM rows),
+scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id, sum(q.v * c.v)::BIGINT AS score
+  FROM cells q JOIN cells c ON q.j = c.j AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0 GROUP BY 1, 2)
+SELECT query_id, rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scores) WHERE rank <= 5
+"""
+
+# every document that holds a term of the item
+OP13 = rf"""
+WITH terms AS (SELECT row_number() OVER () AS row, doc_id, unnest({ITEM_WORDS.format('text')}) AS term FROM documents),
+tf AS (SELECT row, doc_id, term, count(*) AS tf FROM terms GROUP BY ALL),
+sizes AS (SELECT row, count(*) AS n FROM terms GROUP BY row),
+total AS (SELECT count(*) AS n, sum(n)::BIGINT AS length FROM sizes),
+weights AS (SELECT term, floor(1000 * ln((2 * (SELECT n FROM total) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf GROUP BY term),
+asked AS (SELECT DISTINCT item_id, unnest({ITEM_WORDS.format('text')}) AS term FROM benchmark),
+scores AS (
+  SELECT a.item_id, t.row, any_value(t.doc_id) AS doc_id,
+    sum(w.w * ((1000000000 * t.tf) // (1000 * t.tf + 20 * (50 + (50 * s.n * l.n) // l.length))))::BIGINT AS score
+  FROM asked a JOIN tf t USING (term) JOIN weights w USING (term) JOIN sizes s USING (row), total l GROUP BY a.item_id, t.row)
+SELECT item_id, rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM scores WHERE score > 0) WHERE rank <= 50
+"""
+
+ORACLES = {"op2_chat_format": OP2, "op3_mix_sources": OP3, "op5_decontaminate": OP5, "op6_line_dedup": OP6,
+           "op12_top_k": OP12, "op13_lexical_search": OP13}

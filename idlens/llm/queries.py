@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from idlens.llm import chat, decontam, langid, linededup, mixing, quality, sharding, simhash, tokens, toxicity
+from idlens.llm import chat, decontam, langid, lexical, linededup, mixing, quality, sharding, simhash, tokens, topk, toxicity, whitening
 from idlens.llm.common import held_out
 from idlens.llm.oracle import ORACLES  # noqa: F401
 
@@ -85,6 +85,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, QueryFn] = {
     "op1_language_id": op1_language_id,
     "op2_chat_format": op2_chat_format,
@@ -96,4 +108,7 @@ QUERIES: dict[str, QueryFn] = {
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
+    "op11_whitening": op11_whitening,
+    "op12_top_k": op12_top_k,
+    "op13_lexical_search": op13_lexical_search,
 }
