@@ -2,15 +2,15 @@
 
 Candidates are packed into shards. A task builds the index of a shard: for each
 dimension the candidates in order of their value, cut into posting segments of equal
-width. A query gives each segment an impact, the most that its value can add to the
-query's score, as a whole number of units (rounded up). Segments are processed by
-falling impact into one accumulator a candidate, which holds the impacts so far and
-the number of dimensions seen.
-
-With t the impact of the next segment, a dimension not seen yet adds at most the lesser
-of t and the dimension's greatest impact. So after any segment, a candidate's score is
-at most (impacts so far) - t * (dimensions seen) + sum over dimensions of that lesser
-value. The exact scores of the leading candidates give the score that a member must
+width. A query gives each segment an impact, the most that a value of it can add to the
+query's score, quantised upwards. Segments are processed by falling quantised impact
+into two accumulators a candidate: what its values add, and the number of dimensions
+seen.
+
+With t the greatest impact of the segments left, a dimension not seen yet adds at most
+the lesser of t and the dimension's greatest impact. So after any segment, a candidate's
+score is at most (sum so far) - t * (dimensions seen) + sum over dimensions of that
+lesser value. The exact scores of the leading candidates give the score that a member must
 reach; processing stops only when those that can still reach it are few, or when no
 segment is left, and they are all scored exactly.
 
@@ -34,12 +34,12 @@ from idlens.llm.vectors import quantised
 
 TOP = 5
 EVERY = 50  # ids divisible by this are queries
-LEVELS = 16  # segments of a dimension
+LEVELS = 32  # segments of a dimension
 ROUNDS = 10  # checks for a proof while segments are processed
-FEW = 16  # a sixteenth of the candidates, or fewer, is scored exactly
-SHARD_ROWS = (4096, 65536)
+FEW = 4  # when a quarter of the candidates, or fewer, can still be among the best, they are scored exactly
+UNITS = 1 << 16  # steps of a query's greatest impact
+SHARD_ROWS = (8192, 65536)
 QUERY_ROWS = 2048
-SEEN = 1 << 40  # in an accumulator, one dimension
 PACK = "n int, kind string, ids binary, cells binary"
 
 
@@ -73,17 +73,18 @@ class Shard:
         self.ids, self.starts = ids, np.r_[new, len(ids)]  # the ids of each distinct vector, rising
         self.x = x[new]
         m, dims = self.x.shape
-        self.places = np.argsort(self.x, axis=0, kind="stable").T.astype(np.int32)  # by dimension
+        self.places = np.argsort(self.x, axis=0, kind="stable").T.copy()  # by dimension
+        self.values = np.take_along_axis(self.x.T, self.places, 1).astype(float)
         low, high, cuts = [], [], []
         for j in range(dims):
-            v = self.x[self.places[j], j]
-            edges = v[0] + (int(v[-1]) - int(v[0])) * np.arange(1, levels) / levels
+            v = self.values[j]
+            edges = v[0] + (v[-1] - v[0]) * np.arange(1, levels) / levels
             at = np.unique(np.r_[0, np.searchsorted(v, edges, side="right"), m])
             cuts += [(j, a, b) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
             low.append(v[at[:-1]])
             high.append(v[at[1:] - 1])
         self.dim, self.first, self.end = (np.array(c) for c in zip(*cuts))
-        self.low, self.high = np.concatenate(low).astype(float), np.concatenate(high).astype(float)
+        self.low, self.high = np.concatenate(low), np.concatenate(high)
         self.postings = 0  # processed so far, for tests and figures
         self.rescored = 0
 
@@ -95,47 +96,54 @@ class Shard:
 
     def search(self, own: int, q: np.ndarray, k: int = TOP, rounds: int = ROUNDS, few: int = FEW) -> list[tuple[int, int]]:
         """The k best (id, score) of the shard: by falling score, then rising id, `own` left out."""
-        m = len(self.x)
-        weight = q[self.dim].astype(float)
+        m, q_float = len(self.x), q.astype(float)
+        weight = q_float[self.dim]
         impact = np.where(weight > 0, weight * self.high, weight * self.low)
+        # doubles may be off in their last bits: bounds get so much on top
+        slack = 1e-12 * float(np.abs(impact).max(initial=0)) * len(q)
         used = np.flatnonzero(weight)
-        unit = max(1.0, np.abs(impact).max(initial=0) * max(1, len(q)) / 2 ** 30)
-        # one unit more than rounded up where doubles may have rounded down
-        units = (np.ceil(impact / unit) + (0 if np.abs(impact).max(initial=0) < 2 ** 52 else 1)).astype(np.int64)
-        used = used[np.argsort(-units[used], kind="stable")]
-        greatest = np.full(len(q), np.iinfo(np.int64).min)
-        np.maximum.at(greatest, self.dim[used], units[used])
-        greatest = greatest[greatest > np.iinfo(np.int64).min]
+        unit = max(1.0, float(np.abs(impact).max(initial=0)) / UNITS)
+        used = used[np.argsort(-np.ceil(impact[used] / unit), kind="stable")]  # by quantised impact
+        rest = np.r_[np.maximum.accumulate(impact[used][::-1])[::-1], 0.0]  # the most that later segments hold
+        greatest = np.full(len(q), -np.inf)
+        np.maximum.at(greatest, self.dim[used], impact[used])
+        greatest = greatest[greatest > -np.inf]
         counts = self.counts(own)
-        held = np.zeros(m)
+        # sums are whole numbers: where a double has room, the dimensions seen stand above them
+        above = 2.0 ** np.ceil(np.log2(2 * len(q) * float(np.abs(impact).max(initial=1)) + 2))
+        joint = above * 2 * len(q) < 2.0 ** 53
+        held, seen = np.zeros(m), np.zeros(m)
         known = np.full(m, np.iinfo(np.int64).min)  # exact scores of leading candidates
         scored = np.zeros(m, bool)
-        reach = None
         sizes = self.end[used] - self.first[used]
         stops = np.unique(np.searchsorted(np.cumsum(sizes), sizes.sum() * np.arange(1, rounds + 1) / rounds, side="left") + 1)
         members, done = np.arange(m), 0
         for stop in np.minimum(stops, len(used)):
             some = used[done:stop]
             if len(some):
-                places = np.concatenate([self.places[j, a:b] for j, a, b in zip(self.dim[some].tolist(), self.first[some].tolist(), self.end[some].tolist())])
-                held += np.bincount(places, np.repeat((units[some] + SEEN).astype(float), sizes[done:stop]), m)
+                cuts = list(zip(self.dim[some].tolist(), self.first[some].tolist(), self.end[some].tolist()))
+                places = np.concatenate([self.places[j, a:b] for j, a, b in cuts])
+                values = np.concatenate([self.values[j, a:b] for j, a, b in cuts])
+                values *= np.repeat(weight[some], sizes[done:stop])
+                if joint:
+                    values += above
+                else:
+                    seen += np.bincount(places, minlength=m)
+                held += np.bincount(places, values, m)
                 self.postings += len(places)
             done = stop
-            if done < len(used):
-                t = int(units[used[done]])
-                seen = np.floor((held + SEEN / 2) / SEEN)
-                bound = held - seen * SEEN - t * seen + float(np.minimum(t, greatest).sum())
-            else:
-                bound = held - np.floor((held + SEEN / 2) / SEEN) * SEEN
-            lead = np.argpartition(-bound, min(4 * k, m - 1))[:4 * k]
+            t = rest[done]
+            if joint:
+                seen = np.floor(held / above + 0.5)
+            bound = (held - above * seen if joint else held) + (float(np.minimum(t, greatest).sum()) - t * seen if done < len(used) else 0.0) + slack
+            lead = np.argpartition(-bound, min(2 * k, m - 1))[:2 * k]
             lead = lead[~scored[lead]]
             known[lead], scored[lead] = products(self.x[lead], q), True
             ranked = np.flatnonzero(scored & (counts > 0))
             ranked = ranked[np.argsort(-known[ranked], kind="stable")]
             enough = np.searchsorted(np.cumsum(counts[ranked]), k)
             if enough < len(ranked):
-                reach = int(known[ranked[enough]])
-                members = np.flatnonzero(bound * unit >= reach - 1e-9 * abs(reach))
+                members = np.flatnonzero(bound >= float(known[ranked[enough]]) - slack)
                 if len(members) <= max(8 * k, m // few):
                     break
             if done == len(used):
