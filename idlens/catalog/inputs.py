@@ -308,6 +308,57 @@ PAIRS = """
 SELECT vec_id AS pair_id, vec_id AS left_id, vec_id + 1 AS right_id FROM {embeddings}
 """
 
+# users tied by records: a third share one number, the others hang together in chains of sixteen
+TIED_RECORDS = """
+SELECT c_custkey AS user_id, 'aadhaar' AS doc_type,
+  CASE WHEN c_custkey % 3 = 0 THEN 'hot-1 1' ELSE concat('a ', cast(floor(c_custkey / 3) AS INT)) END AS id_number,
+  concat('Person ', c_custkey) AS name, '01/01/1980' AS dob
+FROM {customer}
+UNION ALL
+SELECT c_custkey AS user_id, 'passport' AS doc_type, cast(NULL AS STRING) AS id_number,
+  concat('Chain  ', cast(floor(c_custkey / 3) AS INT) + c_custkey % 3 - 1) AS name, '02/02/1990' AS dob
+FROM {customer} WHERE c_custkey % 3 = 1 AND cast(floor(c_custkey / 3) AS INT) % 8 <> 0 OR c_custkey % 3 = 2
+UNION ALL
+SELECT c_custkey AS user_id, 'visa' AS doc_type, '' AS id_number, 'No Date' AS name, cast(NULL AS STRING) AS dob FROM {customer} WHERE c_custkey % 5 = 0
+"""
+
+# another picture of the same face: the stored vector with a quarter of the next one
+PROBES = """
+SELECT a.vec_id AS probe_id, zip_with(a.embedding, b.embedding, (x, y) -> cast(x AS DOUBLE) + 0.25D * cast(y AS DOUBLE)) AS embedding
+FROM {embeddings} a JOIN {embeddings} b ON b.vec_id = a.vec_id + 1
+"""
+PROBES_DUCK = """
+SELECT a.vec_id AS probe_id, list_transform(list_zip(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), lambda z: z[1] + 0.25::DOUBLE * z[2]) AS embedding
+FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1
+"""
+
+# registry rows that replace one another; a third of them under one number
+REGISTRY_VERSIONS = """
+SELECT 'passport' AS doc_type, CASE WHEN doc_id % 3 = 0 THEN 'HOT-0001' ELSE concat('A-', n7) END AS id_number,
+  CASE WHEN (doc_id + v) % 4 = 0 THEN 'Other Person' ELSE nm END AS name, dob, sex AS gender,
+  DATE '2020-01-01' + cast((doc_id * 37 + v * 411) % 1500 AS INT) AS valid_from,
+  CASE WHEN doc_id % 5 = 0 THEN DATE '2020-04-01' + cast((doc_id * 37 + v * 411) % 1500 AS INT) END AS valid_until
+FROM {base} CROSS JOIN (SELECT 0 AS v UNION ALL SELECT 1 AS v UNION ALL SELECT 2 AS v) AS w
+"""
+DATED_CLAIMS = """
+SELECT doc_id, 'passport' AS doc_type, CASE WHEN doc_id % 3 = 0 THEN 'hot 0001' WHEN doc_id % 31 <> 1 THEN concat('a', n7) END AS id_number,
+  concat(' ', upper(nm)) AS name, dob, sex AS gender,
+  CASE WHEN doc_id % 29 <> 0 THEN DATE '2020-01-01' + cast((doc_id * 53) % 1600 AS INT) END AS captured_at
+FROM {base}
+"""
+
+# zones with look-alikes in place of what was printed
+MISREAD_ZONES = """
+SELECT doc_id, line2 AS printed, CASE doc_id % 12
+  WHEN 2 THEN concat(substr(line2, 1, 1), translate(substr(line2, 2, 3), '0158', 'OISB'), substr(line2, 5))
+  WHEN 4 THEN concat(substr(line2, 1, 13), translate(substr(line2, 14, 6), '0158', 'OISB'), substr(line2, 20))
+  WHEN 6 THEN concat(substr(line2, 1, 21), translate(substr(line2, 22, 7), '01', 'OI'), substr(line2, 29))
+  WHEN 8 THEN concat(translate(substr(line2, 1, 10), '18', 'IB'), substr(line2, 11, 33), translate(substr(line2, 44, 1), '0158', 'OISB'))
+  WHEN 10 THEN concat(substr(line2, 1, 43), CASE WHEN substr(line2, 44, 1) = '3' THEN '4' ELSE '3' END)
+  ELSE line2 END AS line2
+FROM {zone}
+"""
+
 RELATIONS: dict[str, Relation] = {
     "base": Relation(("customer",), BASE),
     "zone": Relation(("base",), ZONE),
@@ -330,6 +381,11 @@ RELATIONS: dict[str, Relation] = {
     "claims": Relation(("base",), CLAIMS),
     "field_wide": Relation(("claims", "base"), FIELD_WIDE),
     "pairs": Relation(("embeddings",), PAIRS),
+    "tied_records": Relation(("customer",), TIED_RECORDS),
+    "probes": Relation(("embeddings",), PROBES, PROBES_DUCK),
+    "registry_versions": Relation(("base",), REGISTRY_VERSIONS),
+    "dated_claims": Relation(("base",), DATED_CLAIMS),
+    "misread_zones": Relation(("zone",), MISREAD_ZONES),
 }
 
 

@@ -42,6 +42,8 @@ def register(name: str, sql: str | None = None, uses: tuple[str, ...] = ()):
         if sql is not None and uses:
             head = with_relations(*uses)
             body = sql.strip()
+            if body.upper().startswith("WITH RECURSIVE"):
+                head, body = head.replace("WITH", "WITH RECURSIVE", 1), "WITH" + body[14:]
             text = head + (",\n" + body[4:].lstrip() if body.upper().startswith("WITH") else "\n" + body)
         REGISTRY[name] = Query(run, text)
         return fn

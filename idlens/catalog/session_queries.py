@@ -331,14 +331,6 @@ def _(spark, sf):
     return out.select("session_id", epoch_millis(F.col("window_start")).alias("start_ms"), "front_capture", "back_capture", "n_captures")
 
 
-@register("str3_duplicate_submissions", "SELECT DISTINCT session_id, doc_type, side FROM captures", ("captures",))
-def _(spark, sf):
-    keys = ["session_id", "doc_type", "side"]
-    # all rows come in one micro-batch, so a slot is named once whatever the delay
-    stream = jobs.drop_duplicates(stream_of(spark, sf, "captures"), keys)
-    return jobs.drained(spark, stream.select(*keys), "duplicates")
-
-
 @register("str4_history_sink", "SELECT id, holder, document_type, risk_score FROM history", ("history",))
 def _(spark, sf):
     path = scratch_path(spark, "history-sink")

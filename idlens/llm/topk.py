@@ -193,7 +193,10 @@ def dealt(shards: DataFrame, asked: DataFrame) -> DataFrame:
     stride = (most["place"] or 0) + 1
     numbers = F.sequence(F.lit(0), F.lit(((most["task"] or 0) + 1) * stride - 1))
     keyed = shards.withColumn("shard", F.col("task") * stride + F.col("place")).drop("task", "place")
-    return keyed.join(asked.select([F.col(c).alias(f"q_{c}") for c in ("n", "kind", "ids", "cells")] + [F.explode(numbers).alias("shard")]), "shard")
+    # few bytes, much work: dealt explicitly, so that small partitions are not put together
+    parts = int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = asked.select([F.col(c).alias(f"q_{c}") for c in ("n", "kind", "ids", "cells")] + [F.explode(numbers).alias("shard")])
+    return keyed.repartition(parts, "shard").join(asked.repartition(parts, "shard"), "shard")
 
 
 def top_k(embeddings: DataFrame, k: int = TOP, every: int = EVERY, shard_rows: int | None = None) -> DataFrame:

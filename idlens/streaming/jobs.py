@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from idlens.operators.crosscheck import check_payload
 from idlens.plans.batch import process_pages, result_columns
 from idlens.session import scratch_path
 
@@ -50,6 +51,22 @@ def drop_duplicates(captures: DataFrame, keys: list[str], delay: str = "1 hour")
     return captures.withWatermark("captured_at", delay).dropDuplicatesWithinWatermark(keys)
 
 
+def cross_check_streams(texts: DataFrame, qr: DataFrame, keys: list[str], within: str = "10 minutes", delay: str = "1 hour") -> DataFrame:
+    """STR-1 / JN-2 where texts (keys, fields, read_at) and payloads (keys, payload, decoded_at)
+    arrive apart: a text meets the payload of its keys that was decoded at most `within`
+    before or after it. Both sides have watermarks, so state is bounded: a text whose
+    payload has not come by then comes out once, as one without a QR; a payload that is
+    later than the watermark, or outside the interval, counts as missing. A page should
+    have one payload; of several each gives a row.
+    """
+    left = texts.withWatermark("read_at", delay)
+    right = qr.select(*[F.col(k).alias(f"_{k}") for k in keys], "payload", "decoded_at").withWatermark("decoded_at", delay)
+    bound = F.expr(f"decoded_at BETWEEN read_at - INTERVAL {within} AND read_at + INTERVAL {within}")
+    for k in keys:
+        bound = bound & (F.col(k) == F.col(f"_{k}"))
+    return check_payload(left.join(right, bound, "left_outer").drop(*[f"_{k}" for k in keys]))
+
+
 def history_writer(path: str) -> Callable[[DataFrame, int], None]:
     """STR-4: each micro-batch owns one folder and overwrites it, so a replayed
     batch leaves its rows once."""
@@ -89,6 +106,19 @@ def run_to_batches(stream: DataFrame, writer: Callable[[DataFrame, int], None],
     query.awaitTermination()
 
 
+def fed(spark: SparkSession, slices: list[dict[str, DataFrame]], stream: Callable[[dict[str, DataFrame]], DataFrame], name: str) -> DataFrame:
+    """Results of a stream whose sources grow: each slice (source name -> rows) is added to the
+    sources' folders and the query is started again from its checkpoint, so state outlives
+    a restart and watermarks move between slices."""
+    path = scratch_path(spark, name)
+    for some in slices:
+        for source, rows in some.items():
+            rows.write.mode("append").parquet(f"{path}/{source}")
+        out = stream({source: read_stream(spark, f"{path}/{source}", rows.schema) for source, rows in some.items()})
+        run_to_files(out, f"{path}/out", f"{path}/state")
+    return spark.read.schema(out.schema).parquet(f"{path}/out")
+
+
 def drained(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
     """Runs a stream over what is there and reads its result files back."""
     path = scratch_path(spark, name)
