@@ -359,6 +359,13 @@ SELECT doc_id, line2 AS printed, CASE doc_id % 12
 FROM {zone}
 """
 
+# history whose JSON has keys that no schema knows, and every thirteenth text cut short
+LOOSE_HISTORY = """
+SELECT id, document_type, CASE WHEN cast(substr(id, 2) AS BIGINT) % 13 = 0 THEN substr(result, 1, 40)
+  ELSE concat(substr(result, 1, length(result) - 1), ',"extra":{{"deep":[1,{{"k":"', id, '"}}]}}}}') END AS result
+FROM {history}
+"""
+
 RELATIONS: dict[str, Relation] = {
     "base": Relation(("customer",), BASE),
     "zone": Relation(("base",), ZONE),
@@ -381,6 +388,7 @@ RELATIONS: dict[str, Relation] = {
     "claims": Relation(("base",), CLAIMS),
     "field_wide": Relation(("claims", "base"), FIELD_WIDE),
     "pairs": Relation(("embeddings",), PAIRS),
+    "loose_history": Relation(("history",), LOOSE_HISTORY),
     "tied_records": Relation(("customer",), TIED_RECORDS),
     "probes": Relation(("embeddings",), PROBES, PROBES_DUCK),
     "registry_versions": Relation(("base",), REGISTRY_VERSIONS),

@@ -1,4 +1,4 @@
-"""UDF-1: SQL-visible scalar functions, as SQL functions (no Python at run time)."""
+"""UDF-1: SQL-visible scalar and table functions, as SQL functions (no Python at run time)."""
 
 from __future__ import annotations
 
@@ -33,7 +33,26 @@ def definitions() -> dict[str, str]:
     }
 
 
+def table_definitions() -> dict[str, str]:
+    """Table functions, for use after LATERAL: name -> (parameters) RETURNS TABLE (columns) RETURN query."""
+    return {
+        # the non-empty fields of a document, a row each; LATERAL takes no map, so its entries
+        "kyc_fields": "(fields ARRAY<STRUCT<key: STRING, value: STRING>>) RETURNS TABLE (key STRING, value STRING) RETURN"
+        " SELECT f.key, f.value FROM (SELECT explode(fields) AS f) WHERE f.value <> ''",
+        # the lines of a text, trimmed, numbered from 1
+        "kyc_lines": "(text STRING) RETURNS TABLE (line_no INT, line STRING) RETURN"
+        " SELECT pos + 1, line FROM (SELECT posexplode(filter(transform(split(text, '\\n'), x -> btrim(x, ' \\t\\r\\f')), x -> x <> '')) AS (pos, line))",
+        # the number line of a zone, a row for each field with its check digit
+        "kyc_zone_fields": "(line STRING) RETURNS TABLE (field STRING, value STRING, digit STRING) RETURN"
+        " SELECT z.field, replace(z.value, '<', ''), z.digit FROM (SELECT inline(array("
+        "named_struct('field', 'number', 'value', substring(line, 1, 9), 'digit', substring(line, 10, 1)),"
+        " named_struct('field', 'birth', 'value', substring(line, 14, 6), 'digit', substring(line, 20, 1)),"
+        " named_struct('field', 'expiry', 'value', substring(line, 22, 6), 'digit', substring(line, 28, 1)),"
+        " named_struct('field', 'optional', 'value', substring(line, 29, 14), 'digit', substring(line, 43, 1))))) AS z WHERE length(line) = 44",
+    }
+
+
 def register_sql_functions(spark: SparkSession) -> None:
     """Temporary functions of this session."""
-    for name, body in definitions().items():
+    for name, body in (definitions() | table_definitions()).items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}{body}")

@@ -109,3 +109,25 @@ def checks_by_status(history: DataFrame) -> DataFrame:
     parsed = history.select("document_type", F.from_json("result", CHECKS_SCHEMA)["checks"].alias("c"))
     return parsed.select("document_type", F.explode("c").alias("c")).groupBy(
         "document_type", F.col("c.status").alias("status")).agg(F.count(F.lit(1)).alias("n_checks"))
+
+
+def as_variant(history: DataFrame, columns: tuple[str, ...] = ("result", "extracted_fields", "saved_paths")) -> DataFrame:
+    """JSN-1: the JSON columns as VARIANT, with all keys they hold, known or not; text that is
+    no JSON becomes NULL. `to_json` gives the text back."""
+    return history.withColumns({c: F.try_parse_json(c) for c in columns if c in history.columns})
+
+
+def at_path(column: str, path: str, kind: str = "string"):
+    """JSN-1: a value inside a VARIANT by path, NULL where it is absent or of another kind."""
+    return F.try_variant_get(F.col(column), path, kind)
+
+
+def variant_schema(history: DataFrame, column: str = "result") -> DataFrame:
+    """JSN-1: one row, `schema`: the type that all values of a VARIANT column fit into."""
+    return history.agg(F.schema_of_variant_agg(column).alias("schema"))
+
+
+def variant_checks_by_status(history: DataFrame, column: str = "result") -> DataFrame:
+    """JSN-2 over a VARIANT: audit checks counted by type and status, whatever else they hold."""
+    checks = history.select("document_type", F.explode(at_path(column, "$.checks", "array<variant>")).alias("check"))
+    return checks.groupBy("document_type", at_path("check", "$.status").alias("status")).agg(F.count(F.lit(1)).alias("n_checks"))
