@@ -7,20 +7,25 @@ Spark's writer, a row each, to the folder the cluster shares, so any store Spark
 write to will do; `export` puts one into a plain file.
 
 Encoding by words: a tokenizer that drops white space gives a text the ids of its
-white-space separated pieces one after another, so each different piece is encoded once
-and remembered. That this holds for a tokenizer is tested on construction.
+white-space separated pieces one after another. Arrow splits the texts of a batch and
+numbers their different pieces; pieces not met before are encoded and remembered, and
+numpy gathers the ids by number. That this holds for a tokenizer is tested on
+construction.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 import zlib
-from array import array
 from collections.abc import Iterator
+from itertools import chain
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,9 +34,12 @@ from idlens.session import scratch_path
 
 END = 1
 SHARD_TOKENS = 1 << 21
-REMEMBERED = 400_000  # pieces of a generation
+TEXTS = 2000  # encoded at a time
+REMEMBERED = 800_000  # pieces; more begin anew
 ODD = re.compile("[\x1c-\x1f\u03a3]")
-ENDED = re.compile(r"(.*[a-z0-9])([!-/:-@\[-`{-~]+)")
+#: White space beyond ASCII.
+WIDE_BLANKS = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+ENDED = r"([a-z0-9])([!-/:-@\[-`{-~]+)([\t-\r ]|$)"
 SHARDS = "shard bigint, n_docs bigint, n_tokens bigint, image binary"
 
 
@@ -43,72 +51,88 @@ class Encoder:
 
         self.whole = Tokenizer.from_file(path)
         self.kind = np.uint16 if self.whole.get_vocab_size() <= 1 << 16 else np.uint32
-        self.code = "H" if self.kind is np.uint16 else "I"
         self.bits = max(1, max(self.whole.get_vocab_size() - 1, END).bit_length())
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.normal = self.whole.normalizer
         self.bare = Tokenizer.from_file(path)  # for pieces, which are normalised already
         if self.normal is not None:
             self.bare.normalizer = normalizers.Sequence([])
-        # two generations of remembered pieces; what is still in use moves to the young one
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self._forget()
         probe = "Ab  cd.\n'S é x1 É. <| b"
-        self.by_words = self.normal is not None and self._pieces_ids([self._pieces(probe)])[0] == self._ids(probe).tobytes()
+        self.by_words = self.normal is not None and self._word_ids([self._normal(probe)])[0].tolist() == self._ids(probe).tolist()
+
+    def _forget(self) -> None:
+        """An empty store: `known` gives a piece its number, `starts` and `sizes` its ids in `store`."""
+        self.known: dict[str, int] = {}
+        self.store = np.zeros(1 << 16, self.kind)
+        self.starts, self.sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.filled = 0
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.kind)
 
-    def _pieces(self, text: str) -> list[str] | None:
-        """None for a text that holds a special string before or after normalising: the tokenizer
-        knows the former only, pieces the latter."""
+    def _normal(self, text: str) -> str | None:
+        """The normalised text, its pieces parted by ASCII white space. None for a text that holds a
+        special string before or after normalising: the tokenizer knows the former only,
+        pieces the latter."""
         # the normaliser composes, makes white space blanks and lower-cases; Python does the
         # same but for final sigma and the separators 1C to 1F
-        if (text.isascii() or unicodedata.is_normalized("NFC", text)) and not ODD.search(text):
-            normal = text.lower()
-            pieces = normal.split()
+        if text.isascii():
+            normal = self.normal.normalize_str(text) if ODD.search(text) else text.lower()
+        elif unicodedata.is_normalized("NFC", text) and not ODD.search(text):
+            normal = WIDE_BLANKS.sub(" ", text.lower())
         else:
             normal = self.normal.normalize_str(text)
-            pieces = normal.split(" ")
-        return None if any(s in text or s in normal for s in self.special) else pieces
-
-    def _encode_pieces(self, pieces: list[str]) -> None:
-        for lo in range(0, len(pieces), 10_000):
-            some = pieces[lo:lo + 10_000]
-            for piece, found in zip(some, self.bare.encode_batch_fast(some, add_special_tokens=False)):
-                self.young[piece] = array(self.code, found.ids).tobytes()
-
-    def _pieces_ids(self, texts: list[list[str]]) -> list[bytes]:
-        if len(self.young) > REMEMBERED:
-            self.young, self.old = {}, self.young
-        missing, ended, new = [], [], set()
-        for piece in set().union(*texts).difference(self.young):
-            if piece in self.old:
-                self.young[piece] = self.old[piece]
-            elif end := ENDED.fullmatch(piece):  # marks after a letter or digit are encoded apart
-                ended.append((piece, *end.groups()))
-                new.update(end.groups())
-            else:
-                missing.append(piece)
-        self._encode_pieces([*missing, *(new - self.young.keys() - set(missing))])
-        for piece, body, marks in ended:
-            self.young[piece] = self.young[body] + self.young[marks]
-        ids = self.young.__getitem__
-        return [b"".join(map(ids, pieces)) for pieces in texts]
+        return None if any(s in text or s in normal for s in self.special) else normal
+
+    def _keep(self, pieces: list[str], ids: list[list[int]]) -> None:
+        at, sizes = len(self.known), np.fromiter(map(len, ids), np.int64, len(ids))
+        total = int(sizes.sum())
+        while at + len(pieces) > len(self.starts):
+            self.starts, self.sizes = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.sizes, 2 * len(self.sizes))
+        while self.filled + total > len(self.store):
+            self.store = np.resize(self.store, 2 * len(self.store))
+        self.store[self.filled:self.filled + total] = np.fromiter(chain.from_iterable(ids), self.kind, total)
+        self.starts[at:at + len(pieces)] = self.filled + np.cumsum(sizes) - sizes
+        self.sizes[at:at + len(pieces)] = sizes
+        self.known.update(zip(pieces, range(at, at + len(pieces))))
+        self.filled += total
+
+    def _numbers(self, pieces: list[str]) -> np.ndarray:
+        """Numbers of different pieces; those not known yet are encoded."""
+        new = [p for p in pieces if p not in self.known]
+        for lo in range(0, len(new), 10_000):
+            some = new[lo:lo + 10_000]
+            self._keep(some, [e.ids for e in self.bare.encode_batch_fast(some, add_special_tokens=False)])
+        return np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+
+    def _word_ids(self, texts: list[str]) -> list[np.ndarray]:
+        """Arrow splits the texts and numbers their different pieces; the ids are gathered by number."""
+        if len(self.known) > REMEMBERED:
+            self._forget()
+        # marks after a letter or digit are encoded apart, which halves the number of pieces
+        parted = pc.replace_substring_regex(pa.array(texts, pa.large_string()), ENDED, r"\1 \2\3")
+        split = pc.ascii_split_whitespace(parted)
+        codes = split.flatten().dictionary_encode()
+        numbers = self._numbers(codes.dictionary.to_pylist())[codes.indices.to_numpy()] if len(codes) else np.zeros(0, np.int64)
+        sizes = self.sizes[numbers]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.store[np.repeat(self.starts[numbers] - (ends - sizes), sizes) + np.arange(total)]
+        bounds = np.concatenate([[0], ends])[split.offsets.to_numpy()]
+        return [ids[lo:hi] for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        pieces = [self._pieces(t) if self.by_words else None for t in texts]
-        found = iter(self._pieces_ids([p for p in pieces if p is not None]))
-        return [self._ids(t) if p is None else np.frombuffer(next(found), self.kind) for t, p in zip(texts, pieces)]
+        normal = [self._normal(t) if self.by_words else None for t in texts]
+        found = iter(self._word_ids([t for t in normal if t is not None]))
+        return [self._ids(t) if n is None else next(found) for t, n in zip(texts, normal)]
 
 
 def encoder(path: str) -> Encoder:
     """One encoder for each tokenizer and worker process. Functions travel to the workers by
-    value, so what outlives a task is kept with the tokenizers library."""
-    import tokenizers
-
-    kept = tokenizers.__dict__.setdefault("_encoders_of_worker", {})
+    value, so what outlives a task is kept in a module made for it."""
+    kept = sys.modules.setdefault("idlens_worker_encoders", ModuleType("idlens_worker_encoders")).__dict__
     if path not in kept:
         kept[path] = Encoder(path)
     return kept[path]
@@ -151,8 +175,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end: int = END, sha
                 names=["shard", "n_docs", "n_tokens", "image"])
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
+            for lo in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(lo, TEXTS)
                 task = part.column("task")[0].as_py()
                 for doc_id, ids in zip(part.column("doc_id").to_pylist(), coder.encode(part.column("text").to_pylist())):
                     held.append((doc_id, np.append(ids, coder.kind(end))))
