@@ -174,3 +174,19 @@ def test_near_side_of_a_large_table(spark, monkeypatch, rnd):
     small = sorted(map(tuple, linededup.dropped_lines(docs).collect()))
     monkeypatch.setattr(linededup, "AT_HAND", 0)
     assert sorted(map(tuple, linededup.dropped_lines(docs).collect())) == small and len(small) == 2
+
+
+@pytest.mark.parametrize("doc_id", [None, 5])
+def test_shards_split_a_group_without_ids_of_its_own(spark, doc_id):
+    """A third of all rows are one text under a null, or one repeated, id: shards stay equal."""
+    docs = [(doc_id, "the same words again and again " * 3)] * 2000 + [(100 + i, f"text {i} " * 12) for i in range(4000)]
+    rows = sharding.shard_documents(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5)).collect()
+    assert len(rows) == 6000 and sum(r.doc_id == doc_id for r in rows) == 2000
+    sizes, slots = {}, {}
+    for r in rows:
+        sizes[r.shard] = sizes.get(r.shard, 0) + r.size
+        slots.setdefault(r.shard, []).append(r.slot)
+    mean = sum(sizes.values()) / 8
+    assert len(sizes) == 8 and all(abs(x - mean) < 0.05 * mean for x in sizes.values())
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+    assert len({r.shard for r in rows if r.doc_id == doc_id}) > 1
