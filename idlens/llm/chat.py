@@ -124,7 +124,9 @@ def format_chat(turns: DataFrame, batch_rows: int = 4096) -> DataFrame:
     without conv_id form one conversation of their own. Other columns are not read.
     """
     order = ["conv_id", "turn", "role", "text"]
-    rows = turns.select(F.col("conv_id").cast("bigint").alias("conv_id"), "turn", "role", "text").repartitionByRange(*order).sortWithinPartitions(
+    # ranges are told by short keys, as the driver samples them; whole roles and texts only sort
+    rows = turns.select(F.col("conv_id").cast("bigint").alias("conv_id"), "turn", "role", "text").repartitionByRange(
+        "conv_id", "turn", F.left("role", F.lit(16))).sortWithinPartitions(
         *order).withColumn("_task", F.spark_partition_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
