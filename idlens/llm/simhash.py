@@ -1,16 +1,18 @@
 """SimHash near-duplicates through an inverted index on positional bytes.
 
-A fingerprint has 8 bytes. Two that differ in at most 4 bits agree in at least 4 of
-them, so the guaranteed minimum of shared positional bytes is 4. A posting list of
-one byte value would hold a 256th of the corpus and more; the index therefore keeps
-a list for every choice of 4 positions and their bytes (70 a fingerprint), where a
-pair that reaches the minimum meets at least once. In a list the shared positional
-bytes of a pair are tallied, pairs below the minimum dropped, and the others
-verified by the number of differing bits.
+A fingerprint has 8 positional bytes. Two that differ in at most 4 bits agree in at
+least 4 of them, so the guaranteed minimum of shared positional bytes is 4. The 2,048
+positional bytes are counted over all different fingerprints and ordered by rarity. Of
+the bytes that two fingerprints share, only the most frequent can be the most frequent
+of either, so at least 3 shared ones remain among the 7 rarest of both: a posting list
+for every three of a fingerprint's 7 rarest bytes (35 a fingerprint) brings each such
+pair together at least once. In a list all shared positional bytes of a pair are
+tallied, pairs below the minimum of 4 dropped, and the others verified by the number
+of differing bits.
 
 Lists hold different fingerprints only, whatever the number of copies. A list gives
 no pairs but the links of a spanning forest, fewer than its members. A long list is
-first split by the remaining bytes: within it at most 4 of 32 bits differ, so one of
+first split by the remaining bytes: within it at most 4 of 40 bits differ, so one of
 five bit fields must agree, again and again down to small lists.
 """
 
@@ -25,12 +27,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from idlens.llm.common import ascii_lower, cut, words
+from idlens.operators.skew import join_to_one
 
 SHINGLE = 4
 MAX_BITS = 4
 BYTES = 8
 #: Guaranteed number of equal bytes of two fingerprints within MAX_BITS.
 MIN_SHARED = BYTES - MAX_BITS
+#: Bytes of a posting list's key: what is left of them without the most frequent byte.
+KEYED = MIN_SHARED - 1
 SMALL = 2048  # members of a list that are compared at a stroke
 LINKS = "a bigint, b bigint"
 
@@ -62,13 +67,28 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return counted.select("doc_id", F.col("_hash").alias("text_hash"), bits.alias("fp"), F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies"))).alias("_copy")).drop("_copy")
 
 
+def positional_bytes(fp: Column) -> list[Column]:
+    """The 8 positional bytes as numbers from 0 to 2047: position * 256 + byte."""
+    return [F.shiftrightunsigned(fp, 8 * b).bitwiseAND(F.lit(0xFF)).cast("int") + 256 * b for b in range(BYTES)]
+
+
+def by_rarity(distinct: DataFrame) -> list[int]:
+    """The place of each of the 2,048 positional bytes in the order of frequency."""
+    counts = {r["byte"]: r["count"] for r in distinct.select(F.explode(F.array(*positional_bytes(F.col("fp")))).alias("byte")).groupBy("byte").count().collect()}
+    order = sorted(range(256 * BYTES), key=lambda x: (counts.get(x, 0), x))
+    return [place for _, place in sorted(zip(order, range(256 * BYTES)))]
+
+
 def posting_lists(distinct: DataFrame) -> DataFrame:
-    """fp -> (fp, list, key) for each choice of MIN_SHARED byte positions."""
+    """fp -> (fp, list, key) for each KEYED of its positional bytes but the most frequent one."""
+    places = F.array(*map(F.lit, by_rarity(distinct)))
+    common = F.array_max(F.array(*[F.struct(F.get(places, x).alias("place"), F.lit(b).alias("at")) for b, x in enumerate(positional_bytes(F.col("fp")))]))["at"]
     choices = []
-    for number, kept in enumerate(combinations(range(BYTES), MIN_SHARED)):
+    for number, kept in enumerate(combinations(range(BYTES), KEYED)):
         mask = sum(0xFF << (8 * b) for b in kept)
-        choices.append(F.struct(F.lit(number).alias("list"), F.col("fp").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)).alias("key")))
-    return distinct.select("fp", F.explode(F.array(*choices)).alias("_c")).select("fp", "_c.list", "_c.key")
+        key = F.col("fp").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))
+        choices.append(F.when(~F.col("_common").isin(*kept), F.struct(F.lit(number).alias("list"), key.alias("key"))))
+    return distinct.select("fp", common.alias("_common")).select("fp", F.explode(F.array_compact(F.array(*choices))).alias("_c")).select("fp", "_c.list", "_c.key")
 
 
 class Forest:
@@ -120,7 +140,7 @@ def connect(fps: np.ndarray, places: np.ndarray, free: list[int], forest: Forest
 def spanning_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (list, key) -> links of a spanning forest of each list."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    choices = list(combinations(range(BYTES), MIN_SHARED))
+    choices = list(combinations(range(BYTES), KEYED))
 
     def forest_of(fps: np.ndarray, number: int) -> list[tuple[int, int]]:
         free = [8 * b + i for b in range(BYTES) if b not in choices[number] for i in range(8)]
@@ -183,9 +203,13 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, parts: int | None = None) -
     links = posting_lists(distinct.select("fp")).repartition(parts, "list", "key").sortWithinPartitions("list", "key", "fp").mapInArrow(
         spanning_links, LINKS)
     roots = components(links)
-    named = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marked.join(named.join(ids, "root").select("fp", "root", "component_id"), "fp")
+    named = cut(distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", "root"))
+    # one root may hold a third of all fingerprints; those without a link need no join
+    linked = named.where(F.col("root").isNotNull())
+    ids = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("_n"))
+    told = join_to_one(linked, ids, "root", "_n").select("fp", "root", "component_id").unionByName(
+        named.where(F.col("root").isNull()).select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id")))
+    return marked.join(told, "fp")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, parts: int | None = None) -> DataFrame:
