@@ -19,21 +19,22 @@ LEVEL = 3
 CHUNK = 4096
 #: (texts up to this many bytes, lowest and highest ratio of size to compressed size), for texts
 #: of mostly one-byte letters: below lie encoded data and noise, above text that says the same
-#: again and again. Real manuals, licences and package texts lie inside but for tables and listings.
+#: again and again. From 512 bytes on the highest ratio is what 98 % of 5,467 manuals, package
+#: texts and licences of that length stay below.
 BANDS = (
-    (128, 0.2, 2.0), (192, 0.9, 2.1), (256, 1.05, 2.2), (384, 1.15, 2.4), (512, 1.2, 2.5), (768, 1.25, 2.7),
-    (1024, 1.35, 2.9), (1536, 1.45, 3.1), (2048, 1.5, 3.3), (3072, 1.65, 3.5), (4096, 1.75, 3.8), (6144, 1.85, 4.1),
-    (8192, 1.9, 4.3), (16384, 1.95, 4.8), (32768, 2.0, 5.3), (131072, 2.0, 6.0), (1 << 62, 2.0, 7.0),
+    (128, 0.2, 2.0), (192, 0.9, 2.1), (256, 1.05, 2.15), (384, 1.15, 2.2), (512, 1.2, 2.2), (768, 1.25, 2.25),
+    (1024, 1.35, 2.25), (1536, 1.45, 2.35), (2048, 1.5, 2.6), (3072, 1.65, 2.9), (4096, 1.75, 2.95), (6144, 1.85, 3.05),
+    (8192, 1.9, 3.5), (16384, 1.95, 3.55), (32768, 2.0, 3.75), (131072, 2.0, 4.4), (1 << 62, 2.0, 5.5),
 )
-CHUNK_BAND = (1.7, 3.8)
+CHUNK_BAND = (1.7, 2.95)
 #: The same for scripts of two to four bytes a letter: alphabets shrink more, as the letters
 #: share their first bytes, Chinese characters less.
 WIDE_BANDS = (
-    (128, 0.2, 3.0), (192, 0.8, 3.15), (256, 0.9, 3.3), (384, 1.0, 3.6), (512, 1.0, 3.75), (768, 1.15, 4.05),
-    (1024, 1.15, 4.35), (1536, 1.25, 4.65), (2048, 1.25, 4.95), (3072, 1.3, 5.25), (4096, 1.3, 5.7), (6144, 1.3, 6.15),
-    (8192, 1.3, 6.45), (16384, 1.3, 7.2), (32768, 1.3, 7.95), (131072, 1.3, 9.0), (1 << 62, 1.3, 10.5),
+    (128, 0.2, 3.0), (192, 0.8, 3.15), (256, 0.9, 3.3), (384, 1.0, 3.4), (512, 1.0, 3.4), (768, 1.15, 3.4),
+    (1024, 1.15, 3.5), (1536, 1.25, 3.7), (2048, 1.25, 3.9), (3072, 1.3, 4.35), (4096, 1.3, 4.45), (6144, 1.3, 4.6),
+    (8192, 1.3, 5.25), (16384, 1.3, 5.35), (32768, 1.3, 5.6), (131072, 1.3, 6.6), (1 << 62, 1.3, 8.3),
 )
-WIDE_CHUNK_BAND = (1.3, 5.7)
+WIDE_CHUNK_BAND = (1.3, 4.45)
 #: From this share of bytes in letters of several bytes on, a text or chunk is of such a script.
 WIDE = 0.25
 #: A text goes when more than this share of its chunks lies outside CHUNK_BAND.
@@ -92,8 +93,10 @@ class Rules:
             return 0.0, 0, 0, "empty"
         whole = self.ratio(raw)
         low, high = next((lo, hi) for upto, lo, hi in self.bands[wide(raw)] if len(raw) <= upto)
-        # a last, short chunk says little and is left out of the chunk rule
+        # the last chunk is the last of full length, so that a tail is judged as well
         parts = [raw[i:i + self.chunk] for i in range(0, len(raw) - self.chunk + 1, self.chunk)]
+        if parts and len(raw) % self.chunk:
+            parts.append(raw[-self.chunk:])
         bad = 0
         for part in parts:
             least, most = self.chunk_bands[wide(part)]

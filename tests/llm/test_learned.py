@@ -278,6 +278,33 @@ def test_quality_keeps_real_prose():
         assert rules.bands_of(" ".join(noise[i:i + 9] for i in range(0, n, 9)).encode())[-1] == "incompressible"
 
 
+def test_quality_bands_reject_what_the_word_rules_keep(rnd):
+    """Template lines with other numbers, encoded data in words, and a noise tail: no repeated words, but out of the bands."""
+    rules = quality.Rules()
+    lines = "\n".join(f"Order {rnd.randrange(10 ** 6)} shipped to {rnd.choice('ABCDEFGH')} on {rnd.randrange(28)}.{rnd.randrange(12)} weight {rnd.randrange(999)} kg" for _ in range(60))
+    data = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/ ") for _ in range(6000))
+    for text, why in ((lines, "repetitive"), (data, "incompressible")):
+        verdict = rules.judge(text)
+        assert not verdict[5] and not verdict[-2] and verdict[-1] == why
+    prose = Path("/usr/share/common-licenses/GPL-3").read_text()
+    noise = base64.b64encode(np.random.default_rng(3).bytes(3000)).decode()
+    parts, bad = rules.bands_of((prose[:4096] + noise[:3000]).encode())[1:3]
+    assert (parts, bad) == (2, 1)  # the tail is a chunk as well
+
+
+def test_posting_lists_bring_every_close_pair_together(spark, rnd):
+    """35 lists a fingerprint; two within 4 bits share one, though the most frequent byte keys none."""
+    fps = {rnd.randrange(1 << 64) & ~(0xFF << 16) for _ in range(60)} | {rnd.randrange(1 << 16) << 48 for _ in range(40)}
+    fps |= {f ^ sum(1 << b for b in rnd.sample(range(64), rnd.randrange(1, 5))) for f in list(fps)}
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    lists = defaultdict(set)
+    for r in simhash.posting_lists(spark.createDataFrame([(f,) for f in signed], "fp bigint")).collect():
+        lists[r.fp].add((r.list, r.key))
+    assert all(len(x) == 35 for x in lists.values()) and len(lists) == len(fps)
+    close = [(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 4]
+    assert len(close) > 90 and all(lists[a] & lists[b] for a, b in close)
+
+
 def test_pipeline(spark, documents):
     sf_dir = "/root/testdata/sf0.01"
     docs, before = documents, None
