@@ -214,15 +214,17 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         run, "doc_id bigint, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, model: Model, least: float = 0.05) -> DataFrame:
-    """The documents, with all their columns, whose language is known: those without a
-    letter and those scored below `least` go. Decided where the rows lie, without a join."""
+def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
+    """The documents, with all their columns, that have a language: null texts and those
+    without a letter go. A text in a language that was not learnt, or code, keeps the
+    learned label nearest to it and stays. Decided where the rows lie, without a join;
+    repeated rows stay, an empty table gives an empty one."""
     columns = docs.columns
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = model.predict(batch.column(columns.index("text")).to_pylist())
-            yield batch.filter(pa.array([f[0] != UNKNOWN and f[1] >= least for f in found], pa.bool_()))
+            yield batch.filter(pa.array([f[0] != UNKNOWN for f in found], pa.bool_()))
 
     return docs.mapInArrow(run, schema)

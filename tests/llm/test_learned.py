@@ -330,3 +330,23 @@ def test_pipeline(spark, documents):
             assert got == want
     assert sizes["language_id"] > 0.95 * documents.count() and sizes["near_duplicates"] < sizes["language_id"]
     assert sizes["token_ids"] == sizes["mixing"]
+
+
+def test_pipeline_stages_on_awkward_and_empty_tables(spark, awkward, nothing, documents):
+    """Null ids and texts, repeated rows, further columns: each stage does what its docstring says."""
+    stages = dict(corpus_pipeline.STAGES)
+    sf_dir = "/root/testdata/sf0.01"
+    for name, stage in stages.items():
+        assert stage(spark, nothing, sf_dir).count() == 0, name
+    rows = awkward.select(*documents.columns).collect()
+    known = stages["language_id"](spark, awkward.unionByName(documents, allowMissingColumns=True), sf_dir)
+    texts = Counter(r.text for r in known.collect())
+    assert None not in texts and "" not in texts and " \n\t " not in texts and texts["same text of some words here"] == 4
+    kept = stages["near_duplicates"](spark, awkward, sf_dir).collect()
+    assert Counter(r.text for r in kept if r.doc_id is None) == Counter(r.text for r in rows if r.doc_id is None)
+    assert sum(r.text == "same text of some words here" for r in kept) == 1 and sum(not (r.text or "").strip() for r in kept if r.doc_id is not None) == 1
+    assert Counter(map(str, stages["decontamination"](spark, awkward, sf_dir).collect())) == Counter(map(str, rows))
+    mixed = stages["mixing"](spark, awkward, sf_dir).collect()
+    whole = {r.text for r in rows if r.text}
+    assert mixed and all(any(t.startswith(r.text) for t in whole) for r in mixed)  # a cut text is the beginning of its document
+    assert stages["token_ids"](spark, awkward, sf_dir).count() == len(rows)
