@@ -27,7 +27,6 @@ from idlens.operators.crosscheck import containment_rate, cross_check, match_fac
 from idlens.operators.format_report import format_report, format_rollup, with_profile
 from idlens.operators.validate import (
     overall_from_long,
-    tampering,
     validate,
     validation_errors,
     verdict,
@@ -111,7 +110,8 @@ def hindi(word: str, text: str = "raw_text") -> str:
     return f"regexp_matches({text}, '(?:^|[^\\p{{L}}\\p{{M}}]){word}(?:[^\\p{{L}}\\p{{M}}]|$)')"
 
 
-def aadhaar_sql(source: str) -> str:
+def aadhaar_sql(source: str, last_name: str = "") -> str:
+    """`last_name`: one more name column of the source, for where all other rules fail."""
     t = "raw_text"
     prefixed = f"nullif({first_line_sql(rf'''regexp_extract(raw_text, '{q(rf'(?i)(?:Name|To|Holder)\s*[:\s]+\s*({NC}{{3,35}})')}', 1)''')}, '')"
     bad = "|".join(rules.NAME_FORBIDDEN)
@@ -133,7 +133,7 @@ aadhaar AS (SELECT doc_id, number AS aadhaar_number,
   coalesce(t_dob, {slash(rx(t, dob_label))}, {slash(rx(t, any_date))}, {rx(t, yob_label)}, {rx(t, year)}) AS dob,
   coalesce(t_gender, CASE WHEN complete THEN NULL WHEN regexp_matches(raw_text, '(?i)\\bMALE\\b') OR {hindi('पुरुष')} THEN 'MALE'
     WHEN regexp_matches(raw_text, '(?i)\\bFEMALE\\b') OR {hindi('महिला')} THEN 'FEMALE' WHEN regexp_matches(raw_text, '(?i)\\bTRANSGENDER\\b') THEN 'TRANSGENDER' END) AS gender,
-  coalesce(t_name, {strip_sql(rx(t, '(?i)name="([^"]+)"'))}, CASE WHEN NOT regexp_matches(upper(prefixed), '{bad}') THEN prefixed END, name_above, name_below) AS name,
+  coalesce(t_name, {strip_sql(rx(t, '(?i)name="([^"]+)"'))}, CASE WHEN NOT regexp_matches(upper(prefixed), '{bad}') THEN prefixed END, name_above, name_below{last_name and ', ' + last_name}) AS name,
   CASE WHEN NOT complete THEN {address_sql(t, 'Address|पता|S/O|C/O|W/O|D/O')} END AS address FROM az)"""
 
 
@@ -293,12 +293,14 @@ _DISPATCH = {
 }
 
 
-def fields_sql() -> str:
+def fields_sql(typed: str | None = None, last_name: str = "") -> str:
+    """Over kyc; types by the text unless a relation (doc_id, document_type) gives them."""
     kinds = {"a": ["aadhaar"], "p": ["passport", "unknown"], "v": ["visa"], "l": ["driving_licence"]}
     cols = ", ".join(
         f"{_pick(c, {k: s for s in sources for k in kinds[s]})} AS {c}" for c, sources in _DISPATCH.items())
-    return f"""{typed_sql('kyc', 'raw_text', "coalesce(payload, '')")}, {aadhaar_sql('kyc')}, {licence_sql('kyc')}, {MRZ_SQL}, {passport_sql()}, {visa_sql()},
-fields AS (SELECT t.doc_id, t.document_type, {cols} FROM typed t JOIN aadhaar a ON t.doc_id = a.doc_id JOIN licence l ON t.doc_id = l.doc_id
+    head = "" if typed else typed_sql("kyc", "raw_text", "coalesce(payload, '')") + ", "
+    return f"""{head}{aadhaar_sql('kyc', last_name)}, {licence_sql('kyc')}, {MRZ_SQL}, {passport_sql()}, {visa_sql()},
+fields AS (SELECT t.doc_id, t.document_type, {cols} FROM {typed or 'typed'} t JOIN aadhaar a ON t.doc_id = a.doc_id JOIN licence l ON t.doc_id = l.doc_id
   JOIN passport p ON t.doc_id = p.doc_id JOIN visa v ON t.doc_id = v.doc_id)"""
 
 
@@ -473,10 +475,10 @@ def _(spark, sf):
 _QKEYS = {k: rf'(?i){k}="([^"]+)"' for k in ("name", "dob")}
 
 
-def cross_sql() -> str:
+def cross_sql(fields: str = "field_wide", pages: str = "kyc") -> str:
     number = "coalesce(nullif(aadhaar_number, ''), nullif(dl_number, ''), nullif(passport_number, ''))"
     return f"""qx AS (SELECT f.*, k.payload, nullif({strip_sql(rx('payload', _QKEYS['name']))}, '') AS qn, nullif({strip_sql(rx('payload', _QKEYS['dob']))}, '') AS qd,
-  contains(payload, '="') AS has_attributes, {number} AS number FROM field_wide f JOIN kyc k ON f.doc_id = k.doc_id),
+  contains(payload, '="') AS has_attributes, {number} AS number FROM {fields} f JOIN {pages} k ON f.doc_id = k.doc_id),
 qy AS (SELECT *, CASE WHEN qn <> '' AND name <> '' THEN contains(lower(qn), lower({strip_sql('name')})) OR contains(lower({strip_sql('name')}), lower(qn)) END AS name_ok,
   CASE WHEN qd <> '' AND dob <> '' THEN contains(qd, dob) OR contains(dob, qd) END AS dob_ok,
   coalesce(contains(replace(payload, ' ', ''), regexp_replace(number, '\\s+', '', 'g')), false) AS number_ok FROM qx),
@@ -520,28 +522,21 @@ def _(spark, sf):
     return containment_rate(field_frame(spark, sf), qr_frame(spark, sf), ["doc_id"])
 
 
-@register("val5_tampering", f"""WITH {cross_sql()}, flags AS (SELECT f.doc_id, c.qr_detected AND len(c.mismatches) > 0 AS contradicted, c.mismatches,
-  coalesce(f.aadhaar_number <> '' AND f.doc_id % 2 = 0, false) AS bad_number, coalesce(f.mrz_checksum_valid = 'false' AND f.mrz_raw IS NOT NULL, false) AS bad_zone
-  FROM field_wide f JOIN cross_checked c ON f.doc_id = c.doc_id)
-SELECT doc_id, contradicted OR bad_number OR bad_zone AS tampered, array_to_string(list_concat(CASE WHEN contradicted THEN mismatches ELSE [] END,
-  CASE WHEN bad_number THEN ['Id number checksum failed'] ELSE [] END, CASE WHEN bad_zone THEN ['MRZ check digits failed'] ELSE [] END), '|') AS anomalies FROM flags""", ("field_wide", "kyc"))
-def _(spark, sf):
-    c = cross_check(field_frame(spark, sf), qr_frame(spark, sf), ["doc_id"])
-    flagged = c.withColumn("fields", F.col("fields").withField("aadhaar_number_valid", F.col("doc_id") % 2 == 1))
-    return tampering(flagged).select("doc_id", "tampered", joined(F.col("anomalies")).alias("anomalies"))
-
-
 # --- registry and faces -------------------------------------------------------------------------------------
 
 
-@register("jn9_registry", f"""WITH r AS (SELECT doc_type, upper(regexp_replace(id_number, '[-\\s]', '', 'g')) AS id, lower(trim(name)) AS n, dob AS b, upper(substr(gender, 1, 1)) AS g FROM registry),
+def registry_sql() -> str:
+    return f"""WITH r AS (SELECT doc_type, upper(regexp_replace(id_number, '[-\\s]', '', 'g')) AS id, lower(trim(name)) AS n, dob AS b, upper(substr(gender, 1, 1)) AS g FROM registry),
 c AS (SELECT doc_id, doc_type, upper(regexp_replace(id_number, '[-\\s]', '', 'g')) AS id, lower({strip_sql('name')}) AS n, dob AS b, upper(substr(gender, 1, 1)) AS g FROM claims)
 SELECT c.doc_id, r.id IS NOT NULL AS id_found, coalesce(c.n = r.n, false) AS name_verified, coalesce(c.b = r.b, false) AS dob_verified, coalesce(c.g = r.g, false) AS gender_verified,
   coalesce(c.n = r.n AND c.b = r.b AND c.g = r.g, false) AS is_verified FROM c LEFT JOIN r ON c.doc_type = r.doc_type AND c.id = r.id WHERE c.id IS NULL OR NOT regexp_full_match(c.id, 'X{{4,}}[0-9]{{4}}')
 UNION ALL
 SELECT c.doc_id, count(r.id) > 0, coalesce(bool_or(r.n = c.n), false), coalesce(bool_or(r.b = c.b), false), coalesce(bool_or(r.g = c.g), false),
   coalesce(bool_or(r.n = c.n AND r.b = c.b AND r.g = c.g), false)
-FROM c LEFT JOIN r ON c.doc_type = r.doc_type AND right(r.id, 4) = right(c.id, 4) WHERE regexp_full_match(c.id, 'X{{4,}}[0-9]{{4}}') GROUP BY c.doc_id""", ("claims", "registry"))
+FROM c LEFT JOIN r ON c.doc_type = r.doc_type AND right(r.id, 4) = right(c.id, 4) WHERE regexp_full_match(c.id, 'X{{4,}}[0-9]{{4}}') GROUP BY c.doc_id"""
+
+
+@register("jn9_registry", registry_sql(), ("claims", "registry"))
 def _(spark, sf):
     return verify_registry(rel(spark, sf, "claims"), rel(spark, sf, "registry"), ["doc_id"])
 
@@ -562,18 +557,18 @@ def _array(names) -> str:
     return "[" + ", ".join(f"'{n}'" for n in names) + "]"
 
 
-def format_sql() -> str:
-    """Over typed texts (kyc) and their columns of field_wide, type decided by the text."""
+def format_sql(pages: str = "kyc", fields: str = "field_wide", columns=FIELD_COLUMNS) -> str:
+    """Over typed texts and their field columns, type decided by the text (CTE typed)."""
     branches = []
     for p in rules.FORMAT_PROFILES:
         present = ", ".join(
-            f"CASE WHEN {'f.' + k if k in FIELD_COLUMNS else 'NULL'} IS NOT NULL THEN '{k}' END" for k in p.key_fields)
+            f"CASE WHEN {'f.' + k if k in columns else 'NULL'} IS NOT NULL THEN '{k}' END" for k in p.key_fields)
         branches.append(f"""SELECT k.doc_id, t.document_type, '{p.title}' AS title, {len(p.headers)} AS nh, {p.min_headers} AS mh, {len(p.key_fields)} AS nk,
   list_filter({_array(p.headers)}, lambda h: contains(upper(k.raw_text), h)) AS hs, list_filter([{present}], lambda x: x IS NOT NULL) AS ks,
   regexp_matches(upper(k.raw_text), '{p.number_pattern}') OR coalesce(f.aadhaar_number <> '', false) OR coalesce(f.passport_number <> '', false) OR coalesce(f.dl_number <> '', false) AS number_ok,
   {str(p.has_mrz).lower()} AS has_mrz, {str(p.has_qr).lower()} AS has_qr, coalesce(f.mrz_checksum_valid = 'true', false) OR f.mrz_raw IS NOT NULL AS zone_ok, k.payload IS NOT NULL AS qr_ok
-  FROM kyc k JOIN typed t ON k.doc_id = t.doc_id JOIN field_wide f ON k.doc_id = f.doc_id WHERE t.document_type = '{p.doc_type}'""")
-    return typed_sql("kyc", "raw_text", "coalesce(payload, '')") + ",\nfa AS (" + "\nUNION ALL\n".join(branches) + """),
+  FROM {pages} k JOIN typed t ON k.doc_id = t.doc_id JOIN {fields} f ON k.doc_id = f.doc_id WHERE t.document_type = '{p.doc_type}'""")
+    return "fa AS (" + "\nUNION ALL\n".join(branches) + """),
 fb AS (SELECT *, round_even(len(hs) / nh::DOUBLE * 35, 2) + CASE WHEN number_ok THEN 25 ELSE 0 END + round_even(len(ks) / nk::DOUBLE * 25, 2)
   + CASE WHEN has_mrz THEN CASE WHEN zone_ok THEN 15 ELSE 0 END WHEN has_qr THEN CASE WHEN qr_ok THEN 15 ELSE 10 END ELSE 15 END AS points FROM fa),
 fc AS (SELECT *, round_even(points, 1) AS score, len(hs) >= mh AS h_ok, len(ks) >= greatest(1, nk // 2) AS k_ok, NOT has_mrz OR zone_ok AS s_ok FROM fb),
@@ -594,7 +589,10 @@ def reported(spark, sf):
     return format_report(both, qr_detected="qr_seen")
 
 
-@register("agg9_format_report", f"WITH {format_sql()} SELECT * FROM report", ("kyc", "field_wide"))
+_TYPED_KYC = typed_sql("kyc", "raw_text", "coalesce(payload, '')")
+
+
+@register("agg9_format_report", f"WITH {_TYPED_KYC}, {format_sql()} SELECT * FROM report", ("kyc", "field_wide"))
 def _(spark, sf):
     v = F.col("format_verification")
     return reported(spark, sf).select(
@@ -604,7 +602,7 @@ def _(spark, sf):
         F.get(v["format_checks"], F.lit(0))["details"].alias("header_details"), joined(v["format_anomalies"]).alias("anomalies"))
 
 
-@register("agg9_format_rollup", f"""WITH {format_sql()}
+@register("agg9_format_rollup", f"""WITH {_TYPED_KYC}, {format_sql()}
 SELECT document_type, status AS format_status, count(*) AS n_docs, round_even(avg(score), 4) AS mean_score FROM report GROUP BY ALL""", ("kyc", "field_wide"))
 def _(spark, sf):
     return format_rollup(reported(spark, sf))

@@ -159,6 +159,43 @@ FROM (SELECT doc_id, lines, unnest(range(len(lines))) AS i FROM (
   SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents) AS a) AS t
 """
 
+# what a batch job takes in: identity texts, some with the name where only its own block tells it, and prose
+INBOX = """
+SELECT doc_id, 1 AS page_number, concat('in/', file_name) AS file_name, payload, CASE WHEN doc_id % 35 = 10
+  THEN concat_ws(chr(10), 'GOVERNMENT OF INDIA', concat('DOB: ', dob), sex, uid, nm) ELSE raw_text END AS raw_text FROM {kyc}
+UNION ALL
+SELECT doc_id + 1000000000000 AS doc_id, 1 AS page_number, concat('doc', cast(doc_id AS STRING), '.jpg') AS file_name, cast(NULL AS STRING) AS payload, text AS raw_text FROM {documents}
+"""
+# words of one engine, and for every other page whole lines of a better one
+INBOX_BLOCKS = BLOCKS.replace("{documents}", "{inbox}").replace("split(text", "split(raw_text") + """
+UNION ALL
+SELECT doc_id, 1 AS page_number, 'paddleocr' AS engine, cast(line_num AS BIGINT) AS seq, line AS text,
+  cast((doc_id * 7 + line_num * 13) % 101 AS DOUBLE) AS confidence, cast(NULL AS INT) AS block_num, cast(NULL AS INT) AS line_num
+FROM {inbox} LATERAL VIEW posexplode(split(raw_text, chr(10))) l AS line_num, line WHERE doc_id % 2 = 0
+"""
+INBOX_BLOCKS_DUCK = BLOCKS_DUCK.replace("FROM documents", "FROM inbox").replace("split(text", "split(raw_text") + """
+UNION ALL
+SELECT doc_id, 1 AS page_number, 'paddleocr' AS engine, cast(i AS BIGINT) AS seq, lines[i + 1] AS text,
+  cast((doc_id * 7 + i * 13) % 101 AS DOUBLE) AS confidence, cast(NULL AS INT) AS block_num, cast(NULL AS INT) AS line_num
+FROM (SELECT doc_id, lines, unnest(range(len(lines))) AS i FROM (
+  SELECT doc_id, string_split(raw_text, chr(10)) AS lines FROM inbox WHERE doc_id % 2 = 0) AS a) AS t
+"""
+
+# scanned sides: fronts, some scanned twice, some missing; backs with the address, some with a payload
+SIDE_SCANS = """
+SELECT doc_id AS session_id, doc_id * 10 + 1 AS seq, 'front' AS side, raw_text, cast(NULL AS STRING) AS payload, concat('image/', cast(doc_id AS STRING), '_front.jpg') AS file_name
+FROM {kyc} WHERE doc_id % 11 <> 4
+UNION ALL
+SELECT doc_id AS session_id, doc_id * 10 + 2 AS seq, 'back' AS side,
+  concat_ws(chr(10), 'Unique Identification', CASE WHEN doc_id % 2 = 0 THEN concat('Address: 5 Lake View', chr(10), 'Nagpur 440001') END, concat('MH-12-2011-', n7),
+    CASE WHEN doc_id % 4 = 1 THEN 'Blood Group: O+' END) AS raw_text,
+  payload, concat('image/', cast(doc_id AS STRING), '_back.jpg') AS file_name
+FROM {kyc} WHERE doc_id % 7 <> 5
+UNION ALL
+SELECT doc_id AS session_id, doc_id * 10 + 3 AS seq, 'front' AS side, 'GOVERNMENT OF INDIA' AS raw_text, cast(NULL AS STRING) AS payload, 'image/again.jpg' AS file_name
+FROM {kyc} WHERE doc_id % 6 = 1
+"""
+
 OCR = """
 SELECT doc_id, 1 AS page_number, 'paddleocr' AS engine, CASE WHEN doc_id % 4 = 0 THEN '' WHEN doc_id % 4 = 1 THEN ' too short' ELSE text END AS raw_text, cast(doc_id % 100 AS DOUBLE) AS confidence_score FROM {documents}
 UNION ALL
@@ -373,6 +410,9 @@ RELATIONS: dict[str, Relation] = {
     "corpus": Relation(("kyc", "documents"), CORPUS),
     "blocks": Relation(("documents",), BLOCKS, BLOCKS_DUCK),
     "line_blocks": Relation(("documents",), LINE_BLOCKS, LINE_BLOCKS_DUCK),
+    "inbox": Relation(("kyc", "documents"), INBOX),
+    "inbox_blocks": Relation(("inbox",), INBOX_BLOCKS, INBOX_BLOCKS_DUCK),
+    "side_scans": Relation(("kyc",), SIDE_SCANS),
     "ocr": Relation(("documents",), OCR),
     "boxes": Relation(("lineitem",), BOXES),
     "box_pages": Relation(("orders",), BOX_PAGES),

@@ -5,19 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from idlens import rules
-from idlens.catalog.extract_queries import dispatched, fields_sql
 from idlens.catalog.inputs import FIELD_COLUMNS
 from idlens.catalog.registry import field_frame, joined, kind_sql, register, rel, strip_sql
-from idlens.catalog.text_queries import typed_sql
 from idlens.functions.numbers import epoch_millis
 from idlens.operators import assemble as A
 from idlens.operators import fields as P
 from idlens.operators import layout as L
-from idlens.operators.classify import classify
 from idlens.operators.extract import fields_long
 from idlens.operators.history import newest_first
 from idlens.operators.risk import history_items
-from idlens.plans.batch import first_pages, process_pages, result_columns, run_batch
+from idlens.plans.batch import first_pages
 from idlens.session import scratch_path
 from idlens.sources import readers, sinks
 
@@ -307,20 +304,6 @@ def _(spark, sf):
     return history_items(field_frame(spark, sf)).select("doc_id", "holder_name", "identifier")
 
 
-_TYPED_KYC = typed_sql("kyc", "raw_text", "coalesce(payload, '')")
-
-
-@register("prj1_api_projection", f"""WITH {_TYPED_KYC} SELECT document_type, document_name, confidence, k.nm AS extracted_fields, CASE WHEN k.doc_id % 2 = 0 THEN 'pass' ELSE 'fail' END AS overall, raw_text AS raw_ocr_text
-FROM typed t JOIN kyc k ON t.doc_id = k.doc_id""", ("kyc",))
-def _(spark, sf):
-    typed = classify(rel(spark, sf, "kyc"), "raw_text", "payload")
-    results = typed.withColumns({
-        "validation_status": F.when(F.col("doc_id") % 2 == 1, F.create_map(F.lit("overall"), F.lit("fail"))),
-        "extracted_fields": F.col("nm"), "raw_ocr_text": F.col("raw_text")})
-    return P.api_projection(results).withColumn("validation_status", F.col("validation_status")["overall"]).withColumnRenamed(
-        "validation_status", "overall")
-
-
 # --- order and first pages ---------------------------------------------------------------------------
 
 
@@ -337,23 +320,6 @@ def _(spark, sf):
 
 # --- sinks -------------------------------------------------------------------------------------------------
 
-_COMBINED = "concat_ws(chr(10), raw_text, coalesce(payload, ''), file_name)"
-
-
-# the rules see the page's text, its payload and its file name as one text
-_WHOLE_SQL = f"whole AS (SELECT * REPLACE ({_COMBINED} AS raw_text) FROM kyc), " + fields_sql().replace("kyc", "whole")
-
-
-@register("snk1_page_results", f"""WITH {_WHOLE_SQL}
-SELECT regexp_replace(file_name, '\\.[^./]*$', '') || '_p1' AS result_key, f.* EXCLUDE (doc_id), t.document_name, t.confidence, payload IS NOT NULL AS qr_detected
-FROM fields f JOIN typed t ON f.doc_id = t.doc_id JOIN kyc k ON f.doc_id = k.doc_id""", ("kyc",))
-def _(spark, sf):
-    path = scratch_path(spark, "results")
-    sinks.write_results(result_columns(process_pages(rel(spark, sf, "kyc"))), path)
-    return spark.read.parquet(path).select(
-        "result_key", "document_type", "document_name", "confidence", F.col("tampering_detection.qr_detected").alias("qr_detected"),
-        *dispatched(F.col("fields")))
-
 
 @register("snk3_history_append", """SELECT 'scan-' || md5(cast(doc_id AS VARCHAR)) AS id, doc_type AS document_type, coalesce(nullif(name, ''), 'Unknown Name') AS holder_name,
   CASE WHEN n = 'Unknown ID' THEN n ELSE repeat('X', greatest(length(n) - 4, 0)) || right(n, 4) END AS identifier, coalesce(CASE WHEN doc_id % 3 = 0 THEN 'HIGH' END, 'LOW') AS risk_level,
@@ -385,23 +351,3 @@ def _(spark, sf):
 def _(spark, sf):
     store = sinks.capture_store(rel(spark, sf, "captures").withColumn("custom_name", F.col("file_name")))
     return store.select("base_name", "capture_id")
-
-
-# --- the whole batch job ---------------------------------------------------------------------------------------
-
-
-@register("batch_results", f"""WITH {ASSEMBLED_SQL.format(source='blocks')},
-eng AS (SELECT doc_id, CASE WHEN length({strip_sql('raw_text')}) > 10 THEN raw_text ELSE '' END AS raw_text, CASE WHEN length({strip_sql('raw_text')}) > 10 THEN confidence_score ELSE 85 END AS ocr_confidence FROM pg),
-src AS (SELECT eng.doc_id, raw_text || chr(10) || coalesce(k.payload, '') || chr(10) || 'doc' || cast(eng.doc_id AS VARCHAR) || '.jpg' AS full_text, k.payload
-  FROM eng LEFT JOIN (SELECT doc_id, payload FROM kyc WHERE payload IS NOT NULL) k ON k.doc_id = eng.doc_id),
-{typed_sql('src', 'full_text', "coalesce(payload, '')")}
-SELECT t.doc_id, document_type, confidence, cast(ocr_confidence AS DOUBLE) AS ocr_confidence, length(raw_text) AS n_chars, s.payload IS NOT NULL AS qr_detected
-FROM typed t JOIN eng e ON t.doc_id = e.doc_id JOIN src s ON s.doc_id = t.doc_id""", ("blocks", "kyc"))
-def _(spark, sf):
-    pages = rel(spark, sf, "documents").select(
-        "doc_id", F.lit(1).alias("page_number"), F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".jpg")).alias("file_name"))
-    qr = rel(spark, sf, "kyc").where("payload is not null").select(
-        "doc_id", "page_number", "payload", F.lit("pyzbar").alias("method"))
-    results = run_batch(rel(spark, sf, "blocks"), pages, qr)
-    return results.select("doc_id", "document_type", "confidence", "ocr_confidence", F.length("raw_ocr_text").cast("bigint").alias("n_chars"),
-                          F.col("tampering_detection.qr_detected").alias("qr_detected"))

@@ -303,20 +303,6 @@ def stream_of(spark, sf, name):
     return jobs.read_stream(spark, path, batch.schema)
 
 
-def _stream_intake_sql() -> str:
-    from idlens.catalog.page_queries import _COMBINED
-    from idlens.catalog.text_queries import typed_sql
-
-    return f"""WITH {typed_sql('kyc', _COMBINED, "coalesce(payload, '')")}
-SELECT k.doc_id, document_type, document_name, confidence, payload AS qr_data FROM typed t JOIN kyc k ON t.doc_id = k.doc_id"""
-
-
-@register("str1_intake", _stream_intake_sql(), ("kyc",))
-def _(spark, sf):
-    out = jobs.drained(spark, jobs.intake(stream_of(spark, sf, "kyc")), "intake")
-    return out.select("doc_id", "document_type", "document_name", "confidence", F.col("tampering_detection.qr_data").alias("qr_data"))
-
-
 # windows are reported once the watermark (newest event minus the delay) has passed them
 _CLOSED = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from idlens import rules
 from idlens.functions.numbers import round_even
-from idlens.functions.text import strip
+from idlens.functions.text import looks_like_name, name_letters, strip
 
 
 def is_kept() -> Column:
@@ -22,36 +22,42 @@ def kept_words(blocks: DataFrame) -> DataFrame:
     return blocks.where(is_kept()).withColumn("text", strip(F.col("text")))
 
 
-def line_texts(blocks: DataFrame, keys: list[str]) -> DataFrame:
+def line_texts(blocks: DataFrame, keys: list[str], names: bool = False) -> DataFrame:
     """AGG-1, first level: words of a (block, line) joined by spaces, with the
     position of the first word and the line's part of the page statistics.
 
-    Engines without line ids (AGG-2) have one line per block.
+    Engines without line ids (AGG-2) have one line per block. With `names`, also the
+    first block whose own text can be a name.
     """
     kept = is_kept()
-    words = blocks.select(
+    named = blocks.withColumn("_letters", name_letters(F.col("text"))) if names else blocks
+    words = named.select(
         *keys, "seq",
         F.coalesce("block_num", F.lit(-1)).alias("block_num"),
         F.coalesce(F.col("line_num").cast("bigint"), F.col("seq").cast("bigint")).alias("line_num"),
         F.when(kept, F.struct("seq", strip(F.col("text")).alias("word"))).alias("entry"),
         F.when(kept, F.col("confidence")).alias("confidence"),
+        *([F.when(kept & looks_like_name(F.col("_letters")), F.struct("seq", "_letters")).alias("name")] if names else []),
     )
     ordered = F.array_sort(F.collect_list("entry"))
     return words.groupBy(*keys, "block_num", "line_num").agg(
         F.min("entry.seq").alias("first_seq"),
         F.array_join(F.transform(ordered, lambda s: s["word"]), " ").alias("line"),
         F.sum("confidence").alias("conf_sum"), F.count("entry").alias("words"),
+        *([F.min("name").alias("name")] if names else []),
     )
 
 
-def assemble_text(blocks: DataFrame, keys: list[str]) -> DataFrame:
+def assemble_text(blocks: DataFrame, keys: list[str], names: bool = False) -> DataFrame:
     """AGG-1..4: raw_text, confidence_score and text_blocks_count per page; a page
     without any usable word gets '', 0.0 and 0.
 
     Words group into lines, lines into the page, both in first-seen order. The
     first grouping spreads a big page over its lines; one page is one output row.
+    With `names` (WIN-7) the first block that can be a name comes along as
+    `name_blocks`, so the extractor's last name rule needs no list of all blocks.
     """
-    lines = line_texts(blocks, keys)
+    lines = line_texts(blocks, keys, names)
     entry = F.when(F.col("words") > 0, F.struct("first_seq", "block_num", "line_num", "line"))
     ordered = F.array_sort(F.collect_list(entry))
     return lines.groupBy(*keys).agg(
@@ -59,7 +65,10 @@ def assemble_text(blocks: DataFrame, keys: list[str]) -> DataFrame:
         F.coalesce(round_even(F.sum("conf_sum") / F.nullif(F.sum("words"), F.lit(0)), 2), F.lit(0.0))
         .alias("confidence_score"),
         F.sum("words").alias("text_blocks_count"),
-    )
+        *([F.array_compact(F.array(F.min("name"))).alias("_names")] if names else []),
+    ).select(
+        *keys, "raw_text", "confidence_score", "text_blocks_count",
+        *([F.transform("_names", lambda n: F.struct(n["_letters"].alias("text"))).alias("name_blocks")] if names else []))
 
 
 def pick_engine(ocr: DataFrame, keys: list[str], pref: str = "auto", engines=rules.OCR_ENGINES) -> DataFrame:
@@ -91,9 +100,10 @@ def pick_engine(ocr: DataFrame, keys: list[str], pref: str = "auto", engines=rul
 
 
 def combined_text(raw_text: Column, payload: Column, file_name: Column) -> Column:
-    """PRJ-2: what the classifier reads."""
+    """PRJ-2: what the classifier reads; of a path only the file's own name."""
     blank = F.lit("")
-    return F.concat_ws("\n", F.coalesce(raw_text, blank), F.coalesce(payload, blank), F.coalesce(file_name, blank))
+    name = F.substring_index(F.coalesce(file_name, blank), "/", -1)
+    return F.concat_ws("\n", F.coalesce(raw_text, blank), F.coalesce(payload, blank), name)
 
 
 # --- manifests -----------------------------------------------------------------------------

@@ -163,6 +163,33 @@ def test_batch_from_words(spark):
     assert got[2].raw_ocr_text == "" and got[2].ocr_confidence == 0.0
 
 
+def test_batch_takes_a_name_from_its_own_block(spark):
+    # below the anchor no line rule looks; the block of the name alone tells it
+    lines = ["GOVERNMENT OF INDIA", "DOB: 01/02/1990", "FEMALE", "8366 9639 3224", "Asha Rao"]
+    rows = [(d, 1, engine, i, line, [0, 0, 1, 1], 90.0, None, None)
+            for d, engine in ((1, "paddleocr"), (2, "fallback")) for i, line in enumerate(lines)]
+    rows += [(3, 1, "paddleocr", i, line, [0, 0, 1, 1], 90.0, None, None) for i, line in enumerate(lines[:4])]
+    pages = spark.createDataFrame([(d, 1, "in/card.jpg") for d in (1, 2, 3)], "doc_id long, page_number int, file_name string")
+    qr = spark.createDataFrame([], "doc_id long, page_number int, payload string, method string")
+    results = run_batch(spark.createDataFrame(rows, readers.BLOCK_SCHEMA), pages, qr)
+    got = {r.doc_id: r for r in results.collect()}
+    assert got[1].fields.name == "Asha Rao" and got[1].document_type == "aadhaar"
+    assert got[2].raw_ocr_text == "" and got[2].fields.name is None
+    assert got[3].fields.name is None and "name_blocks" not in results.columns
+
+
+def test_history_keeps_fields_and_paths_but_no_numbers(spark):
+    page = spark.createDataFrame([(1, "GOVERNMENT OF INDIA\nAsha Rao\nDOB: 01/02/1990\nFEMALE\n8366 9639 3224", "a.jpg", 1)],
+                                 "session_id long, raw_text string, file_name string, page_number int")
+    results = process_pages(page.withColumn("payload", F.lit(None).cast("string"))).withColumn("timestamp", F.timestamp_seconds("session_id"))
+    none = spark.createDataFrame([], "session_id long, ekyc_verified boolean, ekyc_skipped boolean, face_matched boolean, doc_type string")
+    paths = spark.createDataFrame([(1, "image/1.jpg", None)], "session_id long, front_file string, back_file string")
+    row = verify_sessions(session_facts(results, none, none, none, paths=paths)).first()
+    fields = json.loads(row.extracted_fields)
+    assert fields["name"] == "Asha Rao" and fields["aadhaar_number"] == row.identifier == "XXXXXXXX3224"
+    assert json.loads(row.saved_paths) == {"front": "image/1.jpg"} and "83669639" not in str(row)
+
+
 def test_sessions_to_history(spark):
     pages = spark.createDataFrame([
         (1, "GOVERNMENT OF INDIA\nAsha Rao\nDOB: 01/02/1990\nFEMALE\n8366 9639 3224", "a.jpg", 1),
