@@ -58,45 +58,54 @@ def blank_filled(df: DataFrame, front: str, back: str) -> Column:
 
 def side_pairs(results: DataFrame, key: str = "session_id") -> DataFrame:
     """WIN-4: per session the first front-like row and the first back-like row
-    other than it, as structs `front` and `back` (either may be NULL)."""
-    row = F.struct(*results.columns).alias("row")
-    flagged = results.select(
-        key, "seq", row, front_like(F.col("fields")).alias("is_front"),
-        back_like(F.col("fields"), F.col("qr_detected")).alias("is_back"))
-    fronts = first_rows(flagged.where("is_front"), [key], "seq").select(
-        key, F.col("seq").alias("front_seq"), F.col("row").alias("front"))
-    # of the two first back-like rows at most one is the front itself
-    backs = first_rows(flagged.where("is_back"), [key], "seq", k=2).select(
-        key, F.col("seq").alias("back_seq"), F.col("row").alias("back"))
-    other = backs.join(fronts.select(key, "front_seq"), key, "left").where(
-        F.col("front_seq").isNull() | (F.col("front_seq") != F.col("back_seq"))).drop("front_seq")
-    return fronts.join(first_rows(other, [key], "back_seq"), key, "full")
+    other than it, as structs `front` and `back` (either may be NULL).
+
+    One pass: of each kind the first two rows leave an input partition, as of the two
+    first back-like rows at most one is the front itself.
+    """
+    kinds = F.array_compact(F.array(
+        F.when(front_like(F.col("fields")), "front"), F.when(back_like(F.col("fields"), F.col("qr_detected")), "back")))
+    sided = results.select(key, "seq", F.struct(*results.columns).alias("row"), F.explode(kinds).alias("_kind"))
+    w = W.partitionBy(key, "_kind").orderBy("seq")
+    few = sided.withColumn("_rn", F.row_number().over(w)).where("_rn <= 2")
+
+    def nth(kind: str, n: int) -> Column:
+        return F.when((F.col("_kind") == kind) & (F.col("_rn") == n), F.col("seq"))
+
+    places = {"front": nth("front", 1), "_back1": nth("back", 1), "_back2": nth("back", 2)}
+    found = few.groupBy(key).agg(*[x for name, at in places.items() for x in (
+        F.min(at).alias(f"{name}_seq"), F.min_by("row", at).alias(name))])
+    taken = F.coalesce(F.col("_back1_seq") == F.col("front_seq"), F.lit(False))
+    return found.select(
+        key, "front_seq", "front", F.when(taken, F.col("_back2_seq")).otherwise(F.col("_back1_seq")).alias("back_seq"),
+        F.when(taken, F.col("_back2")).otherwise(F.col("_back1")).alias("back"))
 
 
 def merge_sides(results: DataFrame, key: str = "session_id") -> DataFrame:
     """JN-4 / SET-4: sessions whose front and back are of one type get one merged
     record plus their other rows; all other sessions keep their rows.
 
-    `results`: key, seq, document_type, document_name, fields, qr_detected, qr_data,
-    raw_ocr_text.
+    `results`: key, seq (one row each), document_type, document_name, fields, qr_detected,
+    qr_data, raw_ocr_text. The pair comes back to its rows by key and seq, so a hot session
+    spreads over the join: the front's row becomes the merged one, the back's row goes.
     """
     pairs = side_pairs(results, key).where("front.document_type = back.document_type")
-    back_text = F.concat(F.coalesce(F.col("front.raw_ocr_text"), F.lit("")), F.lit(BACK_SEPARATOR),
-                         F.coalesce(F.col("back.raw_ocr_text"), F.lit("")))
-    flat = pairs.select(key, "front", "back", F.col("front.fields").alias("_f"), F.col("back.fields").alias("_b"))
+    none = F.lit(None).cast(results.select(F.struct("*").alias("r")).schema["r"].dataType)
+    roles = pairs.select(key, F.inline(F.array(
+        F.struct(F.col("front_seq").alias("seq"), F.lit("front").alias("_role"), F.col("back").alias("_back")),
+        F.struct(F.col("back_seq").alias("seq"), F.lit("back").alias("_role"), none.alias("_back")))))
+    rows = results.join(roles, [key, "seq"], "left").where("_role is null or _role = 'front'")
+    rows = rows.withColumns({"_f": F.col("fields"), "_b": F.col("_back.fields")})
+    merged = F.col("_role") == "front"
     replaced = {
-        "document_name": F.concat(F.col("front.document_name"), F.lit(MERGED_SUFFIX)),
-        "fields": blank_filled(flat, "_f", "_b"),
-        "raw_ocr_text": back_text,
+        "document_name": F.concat(F.col("document_name"), F.lit(MERGED_SUFFIX)),
+        "fields": blank_filled(rows, "_f", "_b"),
+        "raw_ocr_text": F.concat(F.coalesce(F.col("raw_ocr_text"), F.lit("")), F.lit(BACK_SEPARATOR),
+                                 F.coalesce(F.col("_back.raw_ocr_text"), F.lit(""))),
     }
-    merged = flat.select(
-        *[(F.col(key) if c == key else replaced.get(c, F.col("front")[c])).alias(c) for c in results.columns],
-        F.col("back.qr_data").alias("back_qr_data"),
-    )
-    used = pairs.select(key, F.explode(F.array("front_seq", "back_seq")).alias("seq"))
-    # the key includes seq, so a hot session spreads over the join
-    rest = results.join(used, [key, "seq"], "left_anti").withColumn("back_qr_data", F.lit(None).cast("string"))
-    return merged.unionByName(rest.select(*merged.columns))
+    return rows.select(
+        *[F.when(merged, replaced[c]).otherwise(F.col(c)).alias(c) if c in replaced else F.col(c) for c in results.columns],
+        F.col("_back.qr_data").alias("back_qr_data"))
 
 
 def consolidate(front: DataFrame, back: DataFrame, key: str = "session_id") -> DataFrame:
