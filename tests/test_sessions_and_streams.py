@@ -163,6 +163,19 @@ def test_batch_from_words(spark):
     assert got[2].raw_ocr_text == "" and got[2].ocr_confidence == 0.0
 
 
+def test_sides_merge_in_two_scans(spark, tmp_path):
+    rows = [(s, q, "aadhaar", "Card", ("A", None, None, None) if q == 1 else (None, None, None, "Street"), False, None, f"t{q}")
+            for s in range(20) for q in range(1, 4)]
+    schema = ("session_id int, seq int, document_type string, document_name string, "
+              "fields struct<name:string,dob:string,gender:string,address:string>, qr_detected boolean, qr_data string, raw_ocr_text string")
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "results"))
+    merged = S.merge_sides(spark.read.parquet(str(tmp_path / "results")))
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= 2 and "WindowGroupLimit" in plan
+    got = merged.collect()
+    assert len(got) == 40 and sum(r.document_name.endswith(S.MERGED_SUFFIX) and r.fields.address == "Street" for r in got) == 20
+
+
 def test_batch_takes_a_name_from_its_own_block(spark):
     # below the anchor no line rule looks; the block of the name alone tells it
     lines = ["GOVERNMENT OF INDIA", "DOB: 01/02/1990", "FEMALE", "8366 9639 3224", "Asha Rao"]
