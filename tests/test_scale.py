@@ -3,7 +3,9 @@
 import pytest
 
 from __spark_entry__ import REGISTRY
-
+from idlens.catalog.inputs import RELATIONS, check_digit_sql
+from idlens.catalog.registry import rel
+from idlens.functions.checksums import ICAO_CHARACTERS, ICAO_WEIGHTS
 
 
 @pytest.fixture(scope="module")
@@ -31,3 +33,26 @@ def test_generic_lines_write_out_the_classes_once(spark, tables):
     # a filter pushed below the classes repeated each keyword hundreds of times
     assert len(plan(found)) <= 2 * len(plan(light))
     assert found.where("line IS NULL").count() == 0 and found.count() > 0
+
+
+@pytest.mark.parametrize("name", ["mth2_icao_digits", "udf1_table_zones", "jn15_zone_repair"])
+def test_zone_queries_deal_out_rows_and_stay_small(spark, tables, name):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    found = REGISTRY[name].run(spark, tables)
+    assert "RepartitionByExpression" in plan(found)  # one row group of customers is no longer one task's work
+    assert plan(found).count("instr(") <= 18  # 54 for each text of a zone, more than Spark compiles
+    assert rel(spark, tables, "zone").rdd.getNumPartitions() == int(before)
+
+
+def test_zone_digits_and_checking_sql_stay_as_they_were(spark, tables):
+    def digit(text):
+        return str(sum(max(ICAO_CHARACTERS.find(c), 0) * ICAO_WEIGHTS[i % 3] for i, c in enumerate(text)) % 10)
+
+    rows = rel(spark, tables, "zone").collect()
+    assert len(rows) == 120
+    for r in rows:
+        right = r.doc_id % 2 == 0
+        assert r.number_digit == (digit(r.number9) if right else "0") and r.dob_digit == (digit(r.dob6) if right else "0")
+        whole = r.number9 + r.number_digit + r.dob6 + r.dob_digit + "3001019<<<<<<<<<<<<<<<"
+        assert r.line2[-1] == (digit(whole) if right else "0")
+    assert all(check_digit_sql(t, n) in RELATIONS["zone"].duck for t, n in (("composite", 39), ("number9", 9), ("dob6", 6)))
