@@ -56,3 +56,9 @@ def test_zone_digits_and_checking_sql_stay_as_they_were(spark, tables):
         whole = r.number9 + r.number_digit + r.dob6 + r.dob_digit + "3001019<<<<<<<<<<<<<<<"
         assert r.line2[-1] == (digit(whole) if right else "0")
     assert all(check_digit_sql(t, n) in RELATIONS["zone"].duck for t, n in (("composite", 39), ("number9", 9), ("dob6", 6)))
+
+
+def test_revalidation_builds_the_shown_fields_once(spark, tables):
+    found = plan(REGISTRY["prj6_revalidation_keys"].run(spark, tables))
+    assert found.count("map_from_entries(") == 1  # once for each look-up before
+    assert "RepartitionByExpression" in found
