@@ -62,3 +62,10 @@ def test_revalidation_builds_the_shown_fields_once(spark, tables):
     found = plan(REGISTRY["prj6_revalidation_keys"].run(spark, tables))
     assert found.count("map_from_entries(") == 1  # once for each look-up before
     assert "RepartitionByExpression" in found
+
+
+def test_overall_validity_runs_the_checks_once(spark, tables):
+    found = REGISTRY["agg10_overall_validity"].run(spark, tables)
+    assert plan(found).count("mrz_check_digits") == 1  # an inferred filter held them all again
+    assert "RepartitionByExpression" in plan(found)
+    assert found.where("overall = 'pass'").count() > 0 and found.count() == found.select("doc_id").distinct().count()
