@@ -69,3 +69,10 @@ def test_overall_validity_runs_the_checks_once(spark, tables):
     assert plan(found).count("mrz_check_digits") == 1  # an inferred filter held them all again
     assert "RepartitionByExpression" in plan(found)
     assert found.where("overall = 'pass'").count() > 0 and found.count() == found.select("doc_id").distinct().count()
+
+
+def test_name_below_header_is_worked_out_once_and_dealt_out(spark, tables):
+    found = REGISTRY["win7_name_below_header"].run(spark, tables)
+    assert plan(found).count("BHARAT SARKAR") == 1  # the header words, once more in a pushed filter before
+    assert "Repartition " in plan(found)
+    assert found.where("name_below IS NULL").count() == 0 and found.count() > 0
