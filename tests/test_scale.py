@@ -1,5 +1,7 @@
 """Work that is done once a row and dealt to all tasks, read off plans over small tables of their own."""
 
+import random
+
 import pytest
 
 from __spark_entry__ import REGISTRY
@@ -76,3 +78,30 @@ def test_name_below_header_is_worked_out_once_and_dealt_out(spark, tables):
     assert plan(found).count("BHARAT SARKAR") == 1  # the header words, once more in a pushed filter before
     assert "Repartition " in plan(found)
     assert found.where("name_below IS NULL").count() == 0 and found.count() > 0
+
+
+def test_words_travel_as_runs_and_read_as_before(spark):
+    from idlens.operators.assemble import assemble_text, word_runs
+
+    rng, keys = random.Random(5), ["doc_id", "engine"]
+    rows = [(d, e, seq, rng.choice(["a", "Bo", " c d ", "", " ", None, "x\ny", "é"]), rng.choice([0.0, 50.0, 81.5, None]), 0, seq // 7)
+            for d in (1, 2, None) for e in ("tesseract", "paddleocr") for seq in range(40)]
+    rows += [(3, "tesseract", s, "w", 0.0, None, None) for s in range(3)] + [(4, "paddleocr", None, "n", 1.0, 0, 0), (4, "paddleocr", 5, "m", 2.0, 0, 0)]
+    rows += rows[:30]  # rows that come twice
+    schema = "doc_id int, engine string, seq bigint, text string, confidence double, block_num int, line_num int"
+    want = {}
+    for d, e, seq, text, conf, _, line in rows:
+        lines, stats = want.setdefault((d, e), ({}, []))
+        word = (text or "").strip()
+        if word and (e != "tesseract" or (conf or 0) > 0):
+            lines.setdefault(seq if line is None else line, []).append((-1 if seq is None else seq, word))
+            stats.append(conf)
+    texts = {k: "\n".join(" ".join(w for _, w in sorted(x)) for _, x in sorted(lines.items(), key=lambda i: (min(s for s, _ in i[1]), i[0]))) for k, (lines, _) in want.items()}
+    for mixed in (False, True):
+        if mixed:
+            rng.shuffle(rows)
+        found = assemble_text(spark.createDataFrame(rows, schema).repartition(3) if mixed else spark.createDataFrame(rows, schema).coalesce(1), keys).collect()
+        assert len(found) == len(want)
+        assert {(r.doc_id, r.engine): (r.raw_text, r.text_blocks_count) for r in found} == {k: (texts[k], len(want[k][1])) for k in want}
+    page = spark.range(5000, numPartitions=1).selectExpr("1 AS doc_id", "id AS seq", "'w' AS word", "1D AS confidence", "string(null) AS letters")
+    assert word_runs(page, ["doc_id"]).count() <= 2  # 5,000 rows travelled before
