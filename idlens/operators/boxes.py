@@ -81,7 +81,7 @@ def exclude_overlaps_by_grid(candidates: DataFrame, photos: DataFrame, keys: lis
 
     def sides(df: DataFrame) -> DataFrame:
         b = [F.col("bbox")[i] for i in range(4)]
-        return df.select(*keys, "bbox", (b[2] - b[0]).alias("_w"), (b[3] - b[1]).alias("_h")).where("_w > 0 AND _h > 0").distinct()
+        return df.select(*keys, "bbox", (b[2] - b[0]).alias("_w"), (b[3] - b[1]).alias("_h")).where("_w > 0 AND _h > 0")
 
     def cells(df: DataFrame) -> DataFrame:
         def span(low: int, high: int):
@@ -90,7 +90,7 @@ def exclude_overlaps_by_grid(candidates: DataFrame, photos: DataFrame, keys: lis
         return df.withColumn("_cx", span(0, 2)).withColumn("_cy", span(1, 3))
 
     level = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest("_w", "_h").cast("double")))).cast("bigint")
-    shown = sides(photos).withColumn("_cell", level)
+    shown = sides(photos).distinct().withColumn("_cell", level)
     grids = [r[0] for r in shown.select("_cell").distinct().orderBy("_cell").collect()]  # powers of two: few
     looked = sides(candidates).withColumn("_cell", F.explode(F.array(*[F.lit(g).cast("bigint") for g in grids]) if grids else F.array().cast("array<bigint>")))
     looked = cells(looked.where(F.greatest("_w", "_h") * limit <= F.col("_cell")))

@@ -105,3 +105,15 @@ def test_words_travel_as_runs_and_read_as_before(spark):
         assert {(r.doc_id, r.engine): (r.raw_text, r.text_blocks_count) for r in found} == {k: (texts[k], len(want[k][1])) for k in want}
     page = spark.range(5000, numPartitions=1).selectExpr("1 AS doc_id", "id AS seq", "'w' AS word", "1D AS confidence", "string(null) AS letters")
     assert word_runs(page, ["doc_id"]).count() <= 2  # 5,000 rows travelled before
+
+
+def test_grid_join_does_not_shuffle_candidates_to_make_them_distinct(spark):
+    from idlens.operators.boxes import exclude_overlaps_by_grid
+
+    rows = [(i % 3, i, [10 * i, 0, 10 * i + 8, 8]) for i in range(30)] * 2 + [(0, 99, None), (None, 98, [0, 0, 5, 5])]
+    boxes = spark.createDataFrame(rows, "doc_id int, seq int, bbox array<int>")
+    photos = spark.createDataFrame([(0, [0, 0, 100, 100]), (0, [0, 0, 100, 100]), (1, [200, 0, 260, 50])], "doc_id int, bbox array<int>")
+    found = exclude_overlaps_by_grid(boxes, photos, ["doc_id"])
+    inside = {(0, i) for i in range(0, 10, 3)} | {(1, i) for i in range(20, 26) if i % 3 == 1}
+    assert sorted((r.seq for r in found.collect())) == sorted(seq for d, seq, _ in rows if (d, seq) not in inside)
+    assert plan(found).count("Aggregate [") == 2  # photos and hits; the candidates too before
