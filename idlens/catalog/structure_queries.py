@@ -26,7 +26,7 @@ def _(spark, sf):
     x = F.when(right, 8_000_000).otherwise(0) + pos * 50
     y = F.when(right, F.col("line_num") - 12).otherwise(F.col("line_num")) * 20 + pos % 3
     boxed = blocks.withColumn("bbox", F.array(*[v.cast("int") for v in (x, y, x + 40, y + 14)])).drop("block_num", "line_num", "seq")
-    return assemble_text(lines_from_boxes(boxed, KEYS), KEYS).select("doc_id", "raw_text")
+    return assemble_text(lines_from_boxes(boxed, KEYS, boxes=False), KEYS).select("doc_id", "raw_text")
 
 
 @register("flt8_overlap_by_grid", """

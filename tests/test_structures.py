@@ -110,3 +110,62 @@ def test_table_functions_in_lateral_use(spark):
     assert [tuple(r) for r in fields] == [("name", "A")]
     zone = spark.sql("SELECT field, value, digit FROM kyc_zone_fields('A1234567<5IND9001019M3001019<<<<<<<<<<<<<<<0')").collect()
     assert [tuple(r) for r in zone] == [("number", "A1234567", "5"), ("birth", "900101", "9"), ("expiry", "300101", "9"), ("optional", "", "<")]
+
+
+def plain_lines(rows, gap=40.0):
+    """(page, i) -> (column, line, word), one page after another, from the rule alone."""
+    got = {}
+
+    def cut(some, low, high, wide):
+        out, end = [], None
+        for r in sorted(some, key=lambda r: (low(r), high(r))):
+            if end is None or low(r) > end + wide:
+                out.append([])
+            out[-1].append(r)
+            end = high(r) if len(out[-1]) == 1 else max(end, high(r))
+        return out
+
+    def middle(r):
+        y1, y2 = sorted((r[2][1], r[2][3]))
+        return y1 + (y2 - y1) / 4, y2 - (y2 - y1) / 4
+
+    for d in {r[0] for r in rows}:
+        for c, column in enumerate(cut([r for r in rows if r[0] == d], lambda r: min(r[2][0], r[2][2]), lambda r: max(r[2][0], r[2][2]), gap)):
+            for n, line in enumerate(cut(column, lambda r: middle(r)[0], lambda r: middle(r)[1], 0)):
+                for w, r in enumerate(sorted(line, key=lambda r: (min(r[2][0], r[2][2]), middle(r)[0]))):
+                    got[r[1]] = (c, n, w + 1)
+    return got
+
+
+@pytest.mark.parametrize("batch, stretch, mixed", [(10000, 100000, False), (23, 50, False), (23, 50, True), (23, 400, False)])
+def test_boxes_are_packed_where_they_lie_and_numbered_as_by_the_rule(spark, batch, stretch, mixed):
+    rng = random.Random(9)
+    rows = []
+    for i in range(900):  # a hot page, columns apart and lines that touch
+        x, y = rng.choice([0, 700, 1500]) + rng.random() * 300, rng.randrange(40) * 30 + rng.random() * 20
+        rows.append((0 if i % 3 == 0 else 1 + i // 90, i, [x, y, x + rng.uniform(-30, 30), y + rng.uniform(-15, 15)]))
+    rows.sort(key=lambda r: r[0])
+    if mixed:
+        rng.shuffle(rows)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        df = spark.createDataFrame(rows, "p int, i int, bbox array<double>")
+        found = lines_from_boxes(df.repartition(5) if mixed else df.coalesce(1), ["p"], parts=3, stretch=stretch)
+        got = {r.i: (r.block_num, r.line_num, r.seq % (1 << 21)) for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == plain_lines(rows) and len(got) == 900
+    assert found.columns == ["p", "i", "bbox", "block_num", "line_num", "seq"]
+
+
+def test_pages_of_one_stretch_are_not_shuffled_for_their_lines(spark):
+    from idlens.operators.boxes import line_units
+
+    rows = [(d, f"w{i}", [50 * (i % 10), 20 * (i // 10), 50 * (i % 10) + 45, 20 * (i // 10) + 14]) for d in range(3) for i in range(200)]
+    df = spark.createDataFrame(rows, "d int, text string, bbox array<int>").coalesce(1)
+    found = lines_from_boxes(df, ["d"], boxes=False)
+    assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()  # each box was shuffled for columns, lines and places
+    assert found.count() == 600 and found.columns == ["d", "text", "block_num", "line_num", "seq"]
+    marked = df.selectExpr("*", *[f"double(bbox[{i}]) AS {n}" for i, n in enumerate(("_left", "_top", "_right", "_bottom"))], "0L AS _tie")
+    assert line_units(marked, ["d"], 40.0).count() == 60  # a row a line
