@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from idlens.operators.asof import as_of
-from idlens.operators.faces import index_shape, search_faces
+from idlens.operators.faces import index_shape, nearest, search_faces, usable
 from idlens.operators.groups import connected, identity_groups, record_tokens
 from idlens.operators.mrz_repair import LOOK_ALIKES, repair_zones
 from idlens.operators.skew import join_to_one
@@ -106,6 +106,38 @@ def test_face_search_index_grows_slowly():
     assert more_bits == bits + 7 and more_tables < 4 * tables
 
 
+@pytest.mark.parametrize("tasks, block", [(1, 1 << 27), (6, 1 << 27), (6, 2000)])
+def test_face_search_scores_buckets_in_place(spark, tasks, block):
+    rng = np.random.default_rng(3)
+    n, dims, bits, tables = 300, 8, 3, 2
+    stored = rng.normal(size=(n, dims))
+    stored[1], stored[3] = stored[0] * 4, stored[2] * 1e-120  # the same direction; too small to score in advance
+    near = np.concatenate([stored[:60] + 0.2 * rng.normal(size=(60, dims)), rng.normal(size=(20, dims))])
+    ids = [i // 2 if i >= 40 else 100 + i for i in range(80)]  # from 40 on two different rows a probe
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(stored)], "vec_id bigint, embedding array<double>").repartition(3)
+    p = spark.createDataFrame([(i, x.tolist()) for i, x in zip(ids, near)] + [(ids[0], near[0].tolist())] * 2 + [(999, None)], "probe_id bigint, embedding array<double>")
+    found = nearest(v, usable(p, "probe_id"), dims, bits, tables, 5, tasks, block)
+    planes = np.random.default_rng(5).normal(size=(dims, tables * bits))
+    side = lambda x: (x @ planes > 0).reshape(-1, tables, bits)
+    meet = (side(near)[:, None] == side(stored)[None]).all(3).any(2)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    scores = unit(near) @ unit(stored).T
+    want = {}
+    for probe in set(ids):
+        rows = [i for i, x in enumerate(ids) if x == probe]
+        best, first = max((scores[i][j], -j) for j in np.flatnonzero(meet[rows].any(0)) for i in rows if j != 3)
+        want[probe] = {int(j) for j in np.flatnonzero(meet[rows].any(0)) if j != 3 and max(scores[i][j] for i in rows) >= best - 1e-9}
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.probe_id, []).append((r.near, r.vec_id))
+    for probe, some in got.items():
+        top = max((s for s, _ in some if s < np.inf), default=-np.inf)
+        assert {j for s, j in some if top - 1e-9 <= s < np.inf} == want[probe]
+    assert set(got) == set(want) and all(j == 3 for some in got.values() for s, j in some if s == np.inf)
+    assert found.count() < (6 if block > 2000 else 20) * len(ids)  # all pairs of a bucket travelled before, some 5,000 here
+    assert (meet.sum()) > 30 * len(ids)
+
+
 def test_face_search_on_odd_vectors(spark):
     v = spark.createDataFrame([(1, None), (2, []), (3, [0.0, 0.0]), (4, [1.0, None]), (5, [float("nan"), 1.0]), (6, [1.0, 1.0]), (7, [1.0]), (None, [1.0, 0.0]), (8, [-1.0, 2.0])],
                               "vec_id bigint, embedding array<double>")
