@@ -303,3 +303,40 @@ def test_text_and_payload_streams_report_each_text_once(spark):
     slices = [{"t": t({0, 1, 2}), "c": c([0])}, {"t": t({3, 4, 5}), "c": c([1, 2]).unionByName(end_code.withColumn("decoded_at", F.lit(minutes(600))))}, {"t": end, "c": end_code}, {"t": end.limit(0), "c": c([3])}]
     out = jobs.fed(spark, slices, lambda s: jobs.cross_check_streams(s["t"], s["c"], ["doc_id"]).select("doc_id", "qr_check.qr_detected"), "apart")
     assert sorted((r.doc_id, r.qr_detected) for r in out.where("doc_id >= 0").collect()) == [(0, True), (1, True), (2, False), (3, False), (4, False), (5, False)]
+
+
+def test_pairing_reads_and_writes_its_state_once_a_batch(spark):
+    from types import SimpleNamespace
+    from unittest.mock import MagicMock
+
+    stream, calls = MagicMock(), []
+    pair_sides(stream)
+    made = stream.withWatermark().where().select().groupBy().transformWithState.call_args.kwargs["statefulProcessor"]
+    kept = {}
+
+    class State:
+        def exists(self):
+            return "v" in kept
+
+        def get(self):
+            return kept["v"]
+
+        def update(self, v):
+            calls.append("update")
+            kept["v"] = v
+
+        def clear(self):
+            calls.append("clear")
+            kept.clear()
+
+    timers = set()
+    handle = SimpleNamespace(getValueState=lambda *_: State(), registerTimer=lambda t: (calls.append("timer"), timers.add(t)), deleteTimer=lambda t: (calls.append("delete"), timers.remove(t)))
+    made.init(handle)
+    gap = 30 * 60 * 1000
+    row = lambda i, side, ms: SimpleNamespace(capture_id=f"c{i}", side=side, ms=ms, seq=i)
+    first = list(made.handleInputRows((7,), iter([row(i, "front", i) for i in range(100)][::-1]), None))
+    assert [r.front_capture for r in first] == [f"c{i}" for i in range(99)] and {r.state for r in first} == {"alone"}
+    assert kept["v"] == ("c99", "front", 99) and timers == {99 + gap} and calls == ["update", "timer"]  # four a row before
+    assert [tuple(r) for r in made.handleInputRows((7,), iter([row(200, "back", 99 + gap)]), None)] == [(7, "c99", "c200", 99, "pair")]
+    assert not kept and not timers and calls[2:] == ["delete", "clear"]
+    assert list(made.handleInputRows((7,), iter([row(300, "back", 5)]), None)) == [] and timers == {5 + gap}
