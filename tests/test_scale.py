@@ -117,3 +117,22 @@ def test_grid_join_does_not_shuffle_candidates_to_make_them_distinct(spark):
     inside = {(0, i) for i in range(0, 10, 3)} | {(1, i) for i in range(20, 26) if i % 3 == 1}
     assert sorted((r.seq for r in found.collect())) == sorted(seq for d, seq, _ in rows if (d, seq) not in inside)
     assert plan(found).count("Aggregate [") == 2  # photos and hits; the candidates too before
+
+
+def test_few_keywords_are_searched_where_the_texts_lie(spark):
+    from idlens import rules
+    from idlens.operators import classify
+
+    texts = [(1, "the bank and Bank"), (1, "the bank and Bank"), (2, None), (3, ""), (4, "straße, UN"), (5, "x")]
+    words = [("a", "Bank", 5), ("a", "bank", 5), (None, "AND", 1), ("b", "strasse", None), ("b", "", 9), ("b", None, 9), ("c", "un", 2)]
+    df = spark.createDataFrame(texts, "id int, raw_text string")
+    many = [("z", f"no such word {i}", 1) for i in range(classify.DIRECT)]
+    found = [classify.keyword_hits(df, spark.createDataFrame(w, rules.KEYWORD_SCHEMA)) for w in (words, words + many)]
+    rows = [sorted(f.collect(), key=str) for f in found]
+    want = [(i, t, d, w.upper(), n) for i, t in texts for d, w, n in words if w and t and w.upper() in t.upper()]
+    assert len(want) == 8 and rows[0] == rows[1] == sorted(rows[0], key=str) and sorted(map(str, want)) == sorted(str(tuple(r)) for r in rows[0])
+    assert found[0].columns == ["id", "raw_text", "doc_type", "keyword", "weight"]
+    shuffles = [f._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") for f in found]
+    assert shuffles[0] == 0 < shuffles[1]  # texts and their stretches were shuffled
+    assert plan(found[0]).count("Contains(") == 5 or plan(found[0]).count("Contains") == 5  # each searched once
+    assert classify.keyword_hits(df, spark.createDataFrame([], rules.KEYWORD_SCHEMA)).count() == 0
