@@ -1,8 +1,10 @@
 """Work that is done once a row and dealt to all tasks, read off plans over small tables of their own."""
 
 import random
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from __spark_entry__ import REGISTRY
 from idlens.catalog.inputs import RELATIONS, check_digit_sql
@@ -136,3 +138,49 @@ def test_few_keywords_are_searched_where_the_texts_lie(spark):
     assert shuffles[0] == 0 < shuffles[1]  # texts and their stretches were shuffled
     assert plan(found[0]).count("Contains(") == 5 or plan(found[0]).count("Contains") == 5  # each searched once
     assert classify.keyword_hits(df, spark.createDataFrame([], rules.KEYWORD_SCHEMA)).count() == 0
+
+
+def test_zone_letters_are_looked_for_only_in_lines_that_can_hold_them(spark):
+    from idlens.operators import mrz
+
+    pieces = ["p", "V", "s", "ſ", "ẗ", "ß", "<", "1", "é", " ", "म", ".", "T", "P"]
+    rng = random.Random(5)
+    lines = ["".join(rng.choices(pieces, k=rng.randint(1, 6))) for _ in range(3000)]
+    lines += ["a<" + "b" * 27, "a<" + "b" * 25, "Speed", "1. sp", "é p<", "-v.t", "xp<", "\tP 1", "plain prose", "ẗv<"]
+    texts = ["\n".join(rng.choices(lines, k=rng.randint(1, 4))) for _ in range(1500)] + lines + ["", None]
+
+    def expected(text):
+        if text is None:
+            return None
+        cleaned = [re.sub("[^A-Z0-9<]", "", x.strip(" \t\n\r\f\x0b").upper()) for x in text.split("\n")]
+        found = [x for x in cleaned if len(x) >= 28 and "<" in x or re.match(mrz.LINE_STARTS, x)]
+        if len(found) >= 2 or "<" not in text:
+            return found
+        runs = [re.sub("[^A-Z0-9<]", "", x) for x in re.findall(mrz.RUN_PATTERN, text.upper())]
+        return list(dict.fromkeys(found + [x for x in runs if "<" in x and len(x) >= 30]))
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, raw_text string")
+    found = df.select("i", mrz.candidate_lines(F.col("raw_text")).alias("c"))
+    # a text with no such line is not reduced line by line
+    assert "\\u017f" in plan(found) and mrz.START_GUARD in plan(found)
+    assert {r.i: r.c for r in found.collect()} == {i: expected(t) for i, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("name, guard", [("passport", "LOOSE_DATE_GUARD"), ("licence", "DATE_GUARD"), ("aadhaar", "DATE_GUARD")])
+def test_a_guard_reads_each_text_once(spark, name, guard):
+    from idlens.operators import extract
+
+    df = spark.createDataFrame([("x",)], "raw_text string")
+    out = {"passport": extract.extract_passport, "licence": extract.extract_licence, "aadhaar": extract.extract_aadhaar}[name](df)
+    whole = re.findall(rf"RLIKE\(raw_text#\d+, {re.escape(getattr(extract, guard))}\)", plan(out.select(name)))
+    assert len(whole) == 1
+
+
+def test_a_birth_date_in_parts_is_told_from_a_whole_one(spark):
+    from idlens.operators.extract import extract_passport
+
+    texts = {"born 05\n1990": ("05/01/1990", True), "DOB: 01/02/1991\n05\n1990": ("01/02/1991", False), "no date": (None, False),
+             "x 03-04-1992 y": ("03/04/1992", False), "A1234567": (None, False), "5 \n\n 1990": (None, False), None: (None, False)}
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, raw_text string")
+    got = {r.i: (r.dob, r.dob_partial) for r in extract_passport(df).select("i", "passport.dob", "passport.dob_partial").collect()}
+    assert got == dict(enumerate(texts.values()))
